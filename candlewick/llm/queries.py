@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, mixing, sharding, simhash
-from .common import table
+from . import decontamination, mixing, quality, sharding, simhash
+from .common import held_out, pin, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = pin(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.learn(stats, table(spark, sf_dir, "labels"))
+    scored = quality.score(stats, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -40,7 +47,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op9_mix_sources, op10_shards)}
 
 
 ORACLE_SQL: dict[str, str] = {}
