@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, mixing, quality, sharding, simhash, toxicity
+from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, toxicity
 from .common import held_out, pin, table
 
 
@@ -36,12 +36,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = pin(media.store_text(table(spark, sf_dir, "documents")), "media")
+    return media.read_samples(media.inspect(stored))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -53,7 +63,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op5_toxicity, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op7_media, op9_mix_sources, op10_shards)}
 
 
 ORACLE_SQL: dict[str, str] = {}
