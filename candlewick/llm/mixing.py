@@ -24,7 +24,7 @@ from .common import pin, text_key
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 EXACT_ROWS = 100_000
 STEPS = 1024
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, toxicity
+from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 from .common import held_out, pin, table
 
 
@@ -47,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = pin(media.store_text(table(spark, sf_dir, "documents")), "media")
     return media.read_samples(media.inspect(stored))
@@ -63,7 +67,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op7_media, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op9_mix_sources, op10_shards)}
 
 
 ORACLE_SQL: dict[str, str] = {}
