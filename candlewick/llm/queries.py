@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, tokens, toxicity
 from .common import held_out, pin, table
 
 
@@ -56,6 +56,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_samples(media.inspect(stored))
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.write_and_check(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -67,7 +71,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards)}
 
 
 ORACLE_SQL: dict[str, str] = {}
