@@ -1 +1,4 @@
-"""Bars, indicators and strategy simulation as Spark plans."""
+"""The query functions by category."""
+
+from . import aggregates, indicators, rows, windows  # noqa: F401
+from .registry import REGISTRY, Context, Val  # noqa: F401
