@@ -1,11 +1,563 @@
-"""Named queries of the engine over the test tables, with the SQL to check them."""
+"""Named queries of the engine over the test tables, with the SQL to check them.
+
+Bars come from orders (daily) and events (intraday). Numbers are rounded on
+both sides, dates are dates and times are text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import REGISTRY
+from .operators import backtest as bt
+from .operators import market_calendar as cal
+from .operators import timeframes as tf
+from .plans import response
+from .plans.query import plan, run_query
+from .sources import bars as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+DAILY = (
+    "SELECT 'ALL' AS symbol, o_orderdate AS ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, "
+    "arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY o_orderdate"
+)
+DAILY_MULTI = DAILY.replace("'ALL' AS symbol", "o_orderpriority AS symbol") + ", o_orderpriority"
+
+
+def intraday_sql(minutes: int, by_type: bool = False) -> str:
+    symbol = "event_type" if by_type else "'ALL'"
+    return (
+        f"SELECT {symbol} AS symbol, time_bucket(INTERVAL '{minutes} minutes', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, "
+        f"arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL".replace("GROUP BY ALL", f"GROUP BY time_bucket(INTERVAL '{minutes} minutes', ts)" + (", event_type" if by_type else ""))
+    )
+
+
+def daily(spark, d):
+    return src.order_bars(spark, d)
+
+
+def hourly(spark, d):
+    return src.event_bars(spark, d, 60)
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        SQL[name] = sql
+
+
+def shown(df: DataFrame, places: int = 4) -> DataFrame:
+    """Columns as both sides give them."""
+    out = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if f.name == "ts":
+            out.append(F.date_format(c, "yyyy-MM-dd HH:mm").alias("ts"))
+        elif kind == "double":
+            finite = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.round(c, places))
+            out.append((finite + F.lit(0.0)).alias(f.name))
+        elif kind == "integer":
+            out.append(c.cast("long").alias(f.name))
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
+def ask(name: str, query: dict, bars, sql: str | None = None, places: int = 4, **options) -> None:
+    add(name, lambda spark, d: shown(run_query(query, bars(spark, d), **options), places), sql)
+
+
+TS = "strftime(ts, '%Y-%m-%d %H:%M') AS ts"
+
+
+def rnd(x: str, places: int = 4) -> str:
+    return f"round({x}, {places}) + 0.0"
+
+
+# Flagship
+
+ask(
+    "weekday_range",
+    {"from": "daily", "map": {"r": "range()", "dow": "dayofweek()"}, "group_by": "dow", "select": "mean(r)", "sort": "dow asc"},
+    daily,
+    f"WITH bars AS ({DAILY}) SELECT CAST((dayofweek(ts) + 6) % 7 AS BIGINT) AS dow, {rnd('avg(high - low)')} AS mean_r FROM bars GROUP BY 1",
+)
+
+# Sources
+
+add("scan_bars", lambda s, d: shown(daily(s, d).drop("symbol")), f"WITH bars AS ({DAILY}) SELECT {TS}, open, high, low, close, volume FROM bars")
+add("scan_bars_multi", lambda s, d: shown(src.order_bars(s, d, True)), f"WITH bars AS ({DAILY_MULTI}) SELECT symbol, {TS}, open, high, low, close, volume FROM bars")
+add("ohlc_json", lambda s, d: src.ohlc_json(daily(s, d)))
+
+
+def _upsert(spark, d):
+    """Last year's bars come again with doubled volume."""
+    bars = daily(spark, d)
+    new = bars.filter("ts >= timestamp_ntz'2001-01-01'").withColumn("volume", F.col("volume") * 2)
+    return shown(src.upsert(bars, new).drop("symbol"))
+
+
+add("upsert", _upsert, f"WITH bars AS ({DAILY}) SELECT {TS}, open, high, low, close, volume * CASE WHEN ts >= TIMESTAMP '2001-01-01' THEN 2 ELSE 1 END AS volume FROM bars")
+
+# Timeframes
+
+BUCKETS = {
+    "daily": "date_trunc('day', ts)",
+    "weekly": "date_trunc('week', ts) + INTERVAL 6 DAY",
+    "monthly": "last_day(ts)",
+    "quarterly": "date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY",
+    "yearly": "make_timestamp(year(ts), 12, 31, 0, 0, 0.0)",
+}
+
+
+def resampled_sql(base: str, bucket: str) -> str:
+    return (
+        f"WITH bars AS ({base}) SELECT strftime(CAST({bucket} AS TIMESTAMP), '%Y-%m-%d %H:%M') AS ts, {rnd('arg_min(open, ts)')} AS open, {rnd('max(high)')} AS high, "
+        f"{rnd('min(low)')} AS low, {rnd('arg_max(close, ts)')} AS close, {rnd('sum(volume)')} AS volume FROM bars GROUP BY {bucket}"
+    )
+
+
+for _name, _minutes in tf.INTRADAY.items():
+    ask(f"resample_{_name}", {"from": _name}, lambda s, d: src.event_bars(s, d, 1), resampled_sql(intraday_sql(1), f"time_bucket(INTERVAL '{_minutes} minutes', ts)"))
+for _name, _bucket in BUCKETS.items():
+    ask(f"resample_{_name}", {"from": _name}, hourly if _name == "daily" else daily, resampled_sql(intraday_sql(60) if _name == "daily" else DAILY, _bucket))
+
+SESSIONS = {"RTH": ("09:30", "16:00"), "ETH": ("18:00", "17:00")}
+PLAIN = f"{TS}, {rnd('open')} AS open, {rnd('high')} AS high, {rnd('low')} AS low, {rnd('close')} AS close, volume"
+MINUTE = "(hour(ts) * 60 + minute(ts))"
+ask("session_regular", {"session": "RTH"}, hourly, f"WITH bars AS ({intraday_sql(60)}) SELECT {PLAIN} FROM bars WHERE {MINUTE} >= 570 AND {MINUTE} < 960", sessions=SESSIONS)
+ask("session_wrap", {"session": "eth"}, hourly, f"WITH bars AS ({intraday_sql(60)}) SELECT {PLAIN} FROM bars WHERE {MINUTE} >= 1080 OR {MINUTE} < 1020", sessions=SESSIONS)
+
+PERIODS = {
+    "year": ("2000", "ts >= TIMESTAMP '2000-01-01' AND ts < TIMESTAMP '2001-01-01'"),
+    "month": ("2000-02", "ts >= TIMESTAMP '2000-02-01' AND ts < TIMESTAMP '2000-03-01'"),
+    "day": ("2000-02-03", "ts >= TIMESTAMP '2000-02-03' AND ts < TIMESTAMP '2000-02-04'"),
+    "range": ("1999-11:2000", "ts >= TIMESTAMP '1999-11-01' AND ts < TIMESTAMP '2001-01-01'"),
+    "open_start": (":1995-06", "ts < TIMESTAMP '1995-07-01'"),
+    "open_end": ("2001-05-02:", "ts >= TIMESTAMP '2001-05-02'"),
+    "last_week": ("last_week", "ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM bars)"),
+    "last_month": ("last_month", "ts >= (SELECT max(ts) - INTERVAL 1 MONTH FROM bars)"),
+    "last_year": ("last_year", "ts >= (SELECT max(ts) - INTERVAL 1 YEAR FROM bars)"),
+    "last_n": ("last_20", "CAST(ts AS DATE) >= (SELECT min(d) FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM bars ORDER BY d DESC LIMIT 20))"),
+}
+for _name, (_period, _test) in PERIODS.items():
+    ask(f"period_{_name}", {"period": _period}, daily, f"WITH bars AS ({DAILY}) SELECT {PLAIN} FROM bars WHERE {_test}")
+
+# Expressions: each is a mapped column x
+
+EXPRESSIONS = {
+    "arith": ("(high - low) * 2 + close / open - -volume", "(high - low) * 2 + close / open + volume"),
+    "mod_floordiv": ("(close - 250000) // 1000 + (close - 250000) % 7", "floor((close - 250000) / 1000) + ((close - 250000) - floor((close - 250000) / 7) * 7)"),
+    "compare": ("if(close > prev(close), 1, 0)", "CASE WHEN close > lag(close) OVER (ORDER BY ts) THEN 1 ELSE 0 END"),
+    "not_missing": ("if(not (close > prev(close)), 1, 0)", "CASE WHEN close > lag(close) OVER (ORDER BY ts) THEN 0 ELSE 1 END"),
+    "chain": ("if(100000 < close <= 200000, 1, 0)", "CASE WHEN close > 100000 AND close <= 200000 THEN 1 ELSE 0 END"),
+    "in": ("if(dayofweek() in [0, 4], 1, 0)", "CASE WHEN (dayofweek(ts) + 6) % 7 IN (0, 4) THEN 1 ELSE 0 END"),
+    "not_in": ("if(month() not in [1, 12], 1, 0)", "CASE WHEN month(ts) NOT IN (1, 12) THEN 1 ELSE 0 END"),
+    "bool": ("if(close > open and (volume > 1 or high > 300000), 1, 0)", "CASE WHEN close > open AND (volume > 1 OR high > 300000) THEN 1 ELSE 0 END"),
+    "date": ("if(date() >= '2000-01-01', 1, 0)", "CASE WHEN CAST(ts AS DATE) >= DATE '2000-01-01' THEN 1 ELSE 0 END"),
+}
+for _name, (_text, _sql) in EXPRESSIONS.items():
+    _whole = _text.startswith("if(")
+    ask(f"expr_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH bars AS ({DAILY}) SELECT {TS}, {f'CAST({_sql} AS BIGINT)' if _whole else rnd(_sql)} AS x FROM bars")
+
+# Functions: each is a mapped column x over daily bars, or over hourly ones
+
+BY = "OVER (ORDER BY ts)"
+SO_FAR = "OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+def last(n: int) -> str:
+    return f"OVER (ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def full(agg: str, x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) {last(n)} = {n} THEN {agg}({x}) {last(n)} END"
+
+
+def lag(x: str, n: int = 1) -> str:
+    return f"lag({x}, {n}) {BY}"
+
+
+def wma_sql(x: str, n: int) -> str:
+    terms = [f"{lag(x, n - k)} * {k}" if k < n else f"{x} * {n}" for k in range(1, n + 1)]
+    return "(" + " + ".join(terms) + f") / {n * (n + 1) / 2}"
+
+
+TP = "(high + low + close) / 3"
+TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
+ROWS: dict[str, tuple[str, str, str]] = {
+    # name: (expression, SQL value, kind)
+    "abs": ("abs(close - 250000)", "abs(close - 250000)", "num"),
+    "log": ("log(close)", "ln(close)", "num"),
+    "sqrt": ("sqrt(close)", "sqrt(close)", "num"),
+    "sign": ("sign(close - 250000)", "CAST(sign(close - 250000) AS DOUBLE)", "num"),
+    "round": ("round(volume / 4)", "round_even(volume / 4, 0)", "num"),
+    "if": ("if(close > open, high, low)", "CASE WHEN close > open THEN high ELSE low END", "num"),
+    "prev": ("prev(close, 2)", lag("close", 2), "num"),
+    "next": ("next(close)", f"lead(close, 1) {BY}", "num"),
+    "rolling_mean": ("rolling_mean(close, 20)", full("avg", "close", 20), "num"),
+    "sma": ("sma(close, 5)", full("avg", "close", 5), "num"),
+    "rolling_sum": ("rolling_sum(close, 20)", full("sum", "close", 20), "num"),
+    "rolling_max": ("rolling_max(high, 20)", full("max", "high", 20), "num"),
+    "rolling_min": ("rolling_min(low, 20)", full("min", "low", 20), "num"),
+    "rolling_std": ("rolling_std(close, 20)", full("stddev_samp", "close", 20), "num"),
+    "rolling_count": ("rolling_count(close > open, 10)", full("sum", "CAST(close > open AS INT)", 10), "num"),
+    "wma": ("wma(close, 5)", wma_sql("close", 5), "num"),
+    "vwma": ("vwma(20)", f"CASE WHEN count(close) {last(20)} = 20 THEN sum(close * volume) {last(20)} / sum(volume) {last(20)} END", "num"),
+    "cummax": ("cummax(close)", f"max(close) {SO_FAR}", "num"),
+    "cummin": ("cummin(close)", f"min(close) {SO_FAR}", "num"),
+    "cumsum": ("cumsum(volume)", f"sum(volume) {SO_FAR}", "num"),
+    "bars_since": ("bars_since(close > 400000)", f"CAST(row_number() {BY} - max(CASE WHEN close > 400000 THEN rn END) {SO_FAR} AS DOUBLE)", "num"),
+    "rank": ("rank(volume)", "(rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0) / count(*) OVER ()", "num"),
+    "rising": ("rising(close, 2)", f"coalesce(close > {lag('close')} AND close > {lag('close', 2)}, false)", "bool"),
+    "falling": ("falling(close, 2)", f"coalesce(close < {lag('close')} AND close < {lag('close', 2)}, false)", "bool"),
+    "year": ("year()", "year(ts)", "int"),
+    "quarter": ("quarter()", "quarter(ts)", "int"),
+    "month": ("month()", "month(ts)", "int"),
+    "day_of_month": ("day_of_month()", "day(ts)", "int"),
+    "dayofweek": ("dayofweek()", "(dayofweek(ts) + 6) % 7", "int"),
+    "date": ("date()", "CAST(ts AS DATE)", "date"),
+    "gap": ("gap()", f"open - {lag('close')}", "num"),
+    "gap_pct": ("gap_pct()", f"(open - {lag('close')}) / {lag('close')} * 100", "num"),
+    "change": ("change(close, 3)", f"close - {lag('close', 3)}", "num"),
+    "change_pct": ("change_pct(close, 3)", f"(close - {lag('close', 3)}) / {lag('close', 3)} * 100", "num"),
+    "roc": ("roc(close, 5)", f"(close - {lag('close', 5)}) / {lag('close', 5)} * 100", "num"),
+    "momentum": ("momentum(close)", f"close - {lag('close', 10)}", "num"),
+    "range": ("range()", "high - low", "num"),
+    "range_pct": ("range_pct()", "(high - low) / low * 100", "num"),
+    "midpoint": ("midpoint()", "(high + low) / 2", "num"),
+    "typical_price": ("typical_price()", TP, "num"),
+    "body": ("body()", "close - open", "num"),
+    "body_pct": ("body_pct()", "(close - open) / open * 100", "num"),
+    "upper_wick": ("upper_wick()", "high - greatest(open, close)", "num"),
+    "lower_wick": ("lower_wick()", "least(open, close) - low", "num"),
+    "green": ("green()", "close > open", "bool"),
+    "red": ("red()", "close < open", "bool"),
+    "doji": ("doji(0.2)", "CASE WHEN high = low THEN false ELSE abs(close - open) / (high - low) < 0.2 END", "bool"),
+    "inside_bar": ("inside_bar()", f"coalesce(high < {lag('high')} AND low > {lag('low')}, false)", "bool"),
+    "outside_bar": ("outside_bar()", f"coalesce(high > {lag('high')} AND low < {lag('low')}, false)", "bool"),
+    "crossover": ("crossover(close, open)", f"coalesce({lag('close')} <= {lag('open')} AND close > open, false)", "bool"),
+    "crossunder": ("crossunder(close, open)", f"coalesce({lag('close')} >= {lag('open')} AND close < open, false)", "bool"),
+    "stoch_k": ("stoch_k()", f"CASE WHEN count(high) {last(14)} = 14 THEN (close - min(low) {last(14)}) / (max(high) {last(14)} - min(low) {last(14)}) * 100 END", "num"),
+    "williams_r": ("williams_r()", f"CASE WHEN count(high) {last(14)} = 14 THEN (max(high) {last(14)} - close) / (max(high) {last(14)} - min(low) {last(14)}) * -100 END", "num"),
+    "tr": ("tr()", TRUE_RANGE, "num"),
+    "bbands_upper": ("bbands_upper(close)", f"CASE WHEN count(close) {last(20)} = 20 THEN avg(close) {last(20)} + 2 * stddev_pop(close) {last(20)} END", "num"),
+    "bbands_middle": ("bbands_middle(close)", full("avg", "close", 20), "num"),
+    "bbands_lower": ("bbands_lower(close)", f"CASE WHEN count(close) {last(20)} = 20 THEN avg(close) {last(20)} - 2 * stddev_pop(close) {last(20)} END", "num"),
+    "bbands_width": ("bbands_width(close)", f"CASE WHEN count(close) {last(20)} = 20 THEN 4 * stddev_pop(close) {last(20)} / avg(close) {last(20)} * 100 END", "num"),
+    "bbands_pctb": ("bbands_pctb(close)", f"CASE WHEN count(close) {last(20)} = 20 THEN (close - avg(close) {last(20)} + 2 * stddev_pop(close) {last(20)}) / (4 * stddev_pop(close) {last(20)}) END", "num"),
+    "donchian_upper": ("donchian_upper()", full("max", "high", 20), "num"),
+    "donchian_lower": ("donchian_lower()", full("min", "low", 20), "num"),
+    "volume_ratio": ("volume_ratio()", f"CASE WHEN count(volume) {last(20)} = 20 THEN volume / avg(volume) {last(20)} END", "num"),
+    "volume_sma": ("volume_sma()", full("avg", "volume", 20), "num"),
+    "pivothigh": (
+        "pivothigh(3, 2)",
+        f"CASE WHEN count(high) {last(6)} = 6 AND {lag('high', 2)} > max(high) OVER (ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AND {lag('high', 2)} > max(high) OVER (ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) THEN {lag('high', 2)} END",
+        "num",
+    ),
+    "pivotlow": (
+        "pivotlow(3, 2)",
+        f"CASE WHEN count(low) {last(6)} = 6 AND {lag('low', 2)} < min(low) OVER (ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AND {lag('low', 2)} < min(low) OVER (ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) THEN {lag('low', 2)} END",
+        "num",
+    ),
+    # Aggregates of all bars, on every row
+    "mean": ("mean(close)", "avg(close) OVER ()", "num"),
+    "sum": ("sum(volume)", "sum(volume) OVER ()", "num"),
+    "max": ("max(high)", "max(high) OVER ()", "num"),
+    "min": ("min(low)", "min(low) OVER ()", "num"),
+    "std": ("std(close)", "stddev_samp(close) OVER ()", "num"),
+    "median": ("median(close)", "median(close) OVER ()", "num"),
+    "count": ("count()", "count(*) OVER ()", "int"),
+    "pct": ("pct(close > open)", "avg(CAST(close > open AS INT)) OVER ()", "num"),
+    "percentile": ("percentile(close, 0.9)", "quantile_cont(close, 0.9) OVER ()", "num"),
+    "correlation": ("correlation(close, volume)", "corr(close, volume) OVER ()", "num"),
+    "last": ("last(close)", "last_value(close) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "num"),
+}
+
+#: Several steps of SQL: the last step is called out and has ts, rn and x.
+NUMBERED = f"b0 AS ({DAILY}), bars AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM b0)"
+
+
+def ema_sql(name: str, source: str, n: int) -> str:
+    a = 2.0 / (n + 1)
+    return f"{name} AS (SELECT rn, x FROM {source} WHERE rn = 1 UNION ALL SELECT s.rn, {1 - a!r} * r.x + {a!r} * s.x FROM {name} r JOIN {source} s ON s.rn = r.rn + 1)"
+
+
+def rma_sql(name: str, source: str, n: int, skip: int = 0) -> str:
+    return (
+        f"{name} AS (SELECT CAST({n + skip} AS BIGINT) AS rn, (SELECT avg(x) FROM {source} WHERE rn > {skip} AND rn <= {n + skip}) AS x "
+        f"UNION ALL SELECT s.rn, s.x / {n}.0 + {1 - 1 / n!r} * r.x FROM {name} r JOIN {source} s ON s.rn = r.rn + 1)"
+    )
+
+
+def of(name: str, value: str) -> str:
+    return f"{name} AS (SELECT rn, {value} AS x FROM bars)"
+
+
+def joined(value: str, *names: str) -> str:
+    return f"out AS (SELECT bars.ts, bars.rn, {value} AS x FROM bars " + " ".join(f"LEFT JOIN {n} ON {n}.rn = bars.rn" for n in names) + ")"
+
+
+_C = of("c", "close")
+_TR = of("tr", TRUE_RANGE)
+_DM = [
+    of("pdm", f"CASE WHEN high - {lag('high')} > {lag('low')} - low AND high - {lag('high')} > 0 THEN high - {lag('high')} ELSE 0.0 END"),
+    of("mdm", f"CASE WHEN {lag('low')} - low > high - {lag('high')} AND {lag('low')} - low > 0 THEN {lag('low')} - low ELSE 0.0 END"),
+    _TR,
+    rma_sql("rp", "pdm", 14),
+    rma_sql("rm", "mdm", 14),
+    rma_sql("rt", "tr", 14),
+]
+_MACD = [_C, ema_sql("e1", "c", 12), ema_sql("e2", "c", 26), "m AS (SELECT e1.rn, e1.x - e2.x AS x FROM e1 JOIN e2 USING (rn))"]
+_KC = [_C, _TR, ema_sql("e1", "c", 20), rma_sql("r", "tr", 10)]
+_STEP = f"coalesce(close - {lag('close')}, 0.0)"
+_FLOW = f"{TP} - lag({TP}) {BY}"
+_SUPER = [
+    _TR,
+    rma_sql("r", "tr", 10),
+    "s AS (SELECT bars.rn, high, low, close, r.x AS atr FROM bars LEFT JOIN r ON r.rn = bars.rn)",
+    "st AS (SELECT rn, close, atr, (high + low) / 2 + 3 * atr AS up, (high + low) / 2 - 3 * atr AS lo, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS dir FROM s WHERE rn = 9 "
+    "UNION ALL SELECT rn, close, atr, u, l, CASE WHEN rising THEN l ELSE u END, CASE WHEN rising THEN 1.0 ELSE -1.0 END FROM ("
+    "SELECT *, CASE WHEN patr IS NULL OR px IS NULL THEN false WHEN px = pup THEN close > u ELSE NOT close < l END AS rising FROM ("
+    "SELECT s.rn, s.close, s.atr, p.atr AS patr, p.x AS px, p.up AS pup, "
+    "CASE WHEN p.up IS NULL OR (s.high + s.low) / 2 + 3 * s.atr < p.up OR p.close > p.up THEN (s.high + s.low) / 2 + 3 * s.atr ELSE p.up END AS u, "
+    "CASE WHEN p.lo IS NULL OR (s.high + s.low) / 2 - 3 * s.atr > p.lo OR p.close < p.lo THEN (s.high + s.low) / 2 - 3 * s.atr ELSE p.lo END AS l "
+    "FROM st p JOIN s ON s.rn = p.rn + 1)))",
+]
+_SAR = [
+    "n AS (SELECT rn, high, low, close, lead(close) OVER (ORDER BY rn) AS c1, lag(high) OVER (ORDER BY rn) AS h1, lag(low) OVER (ORDER BY rn) AS l1, lag(high, 2) OVER (ORDER BY rn) AS h2, lag(low, 2) OVER (ORDER BY rn) AS l2 FROM bars)",
+    "st AS (SELECT rn, c1 >= close AS up, CASE WHEN c1 >= close THEN low ELSE high END AS x, CASE WHEN c1 >= close THEN high ELSE low END AS ep, 0.02 AS af FROM n WHERE rn = 1 "
+    "UNION ALL SELECT rn, CASE WHEN up THEN NOT low < s ELSE high > s END, CASE WHEN (up AND low < s) OR (NOT up AND high > s) THEN ep ELSE s END, "
+    "CASE WHEN up AND low < s THEN low WHEN NOT up AND high > s THEN high WHEN up THEN greatest(ep, high) ELSE least(ep, low) END, "
+    "CASE WHEN (up AND low < s) OR (NOT up AND high > s) THEN 0.02 WHEN (up AND high > ep) OR (NOT up AND low < ep) THEN least(af + 0.02, 0.2) ELSE af END FROM ("
+    "SELECT n.*, p.up, p.ep, p.af, CASE WHEN p.up THEN least(p.x + p.af * (p.ep - p.x), l1, coalesce(l2, l1)) ELSE greatest(p.x + p.af * (p.ep - p.x), h1, coalesce(h2, h1)) END AS s "
+    "FROM st p JOIN n ON n.rn = p.rn + 1))",
+]
+STEPS: dict[str, tuple[str, list[str], str]] = {
+    "ema": ("ema(close, 12)", [_C, ema_sql("e", "c", 12), joined("e.x", "e")], "num"),
+    "rma": ("rma(close, 14)", [_C, rma_sql("e", "c", 14), joined("e.x", "e")], "num"),
+    "hma": (
+        "hma(close, 9)",
+        [f"w AS (SELECT ts, rn, 2 * ({wma_sql('close', 4)}) - ({wma_sql('close', 9)}) AS v FROM bars)", f"out AS (SELECT ts, rn, {wma_sql('v', 3)} AS x FROM w)"],
+        "num",
+    ),
+    "streak": (
+        "streak(close > open)",
+        [f"g AS (SELECT ts, rn, CAST(close > open AS INT) AS y, sum(1 - CAST(close > open AS INT)) {SO_FAR} AS g FROM bars)", "out AS (SELECT ts, rn, sum(y) OVER (PARTITION BY g ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM g)"],
+        "int",
+    ),
+    "valuewhen": (
+        "valuewhen(close > open, high, 1)",
+        [
+            f"k AS (SELECT ts, rn, high, close > open AS y, sum(CAST(close > open AS INT)) {SO_FAR} AS k FROM bars)",
+            "out AS (SELECT a.ts, a.rn, b.high AS x FROM k a LEFT JOIN k b ON b.y AND b.k = a.k - 1)",
+        ],
+        "num",
+    ),
+    "obv": ("obv()", [f"s AS (SELECT ts, rn, coalesce(volume * sign(close - {lag('close')}), 0) AS v FROM bars)", f"out AS (SELECT ts, rn, sum(v) {SO_FAR} AS x FROM s)"], "num"),
+    "ad_line": (
+        "ad_line()",
+        ["s AS (SELECT ts, rn, CASE WHEN high = low THEN 0.0 ELSE ((close - low) - (high - close)) / (high - low) END * volume AS v FROM bars)", f"out AS (SELECT ts, rn, sum(v) {SO_FAR} AS x FROM s)"],
+        "num",
+    ),
+    "stoch_d": ("stoch_d()", [f"k AS (SELECT ts, rn, {ROWS['stoch_k'][1]} AS v FROM bars)", f"out AS (SELECT ts, rn, {full('avg', 'v', 3)} AS x FROM k)"], "num"),
+    "cci": (
+        "cci(10)",
+        [
+            f"t AS (SELECT ts, rn, {TP} AS v FROM bars)",
+            f"m AS (SELECT ts, rn, v, {full('avg', 'v', 10)} AS m FROM t)",
+            "out AS (SELECT ts, rn, (v - m) / (0.015 * (" + " + ".join(["abs(v - m)"] + [f"abs({lag('v', i)} - m)" for i in range(1, 10)]) + ") / 10) AS x FROM m)",
+        ],
+        "num",
+    ),
+    "mfi": (
+        "mfi()",
+        [
+            f"f AS (SELECT ts, rn, CASE WHEN {_FLOW} > 0 THEN {TP} * volume ELSE 0.0 END AS u, CASE WHEN {_FLOW} < 0 THEN {TP} * volume ELSE 0.0 END AS d FROM bars)",
+            f"out AS (SELECT ts, rn, CASE WHEN count(u) {last(14)} = 14 THEN 100 - 100 / (1 + sum(u) {last(14)} / sum(d) {last(14)}) END AS x FROM f)",
+        ],
+        "num",
+    ),
+    "rsi": (
+        "rsi(close)",
+        [of("u", f"greatest({_STEP}, 0.0)"), of("d", f"greatest(-({_STEP}), 0.0)"), rma_sql("ru", "u", 14), rma_sql("rd", "d", 14), joined("100 - 100 / (1 + ru.x / rd.x)", "ru", "rd")],
+        "num",
+    ),
+    "atr": ("atr()", [_TR, rma_sql("r", "tr", 14), joined("r.x", "r")], "num"),
+    "natr": ("natr()", [_TR, rma_sql("r", "tr", 14), joined("r.x / close * 100", "r")], "num"),
+    "kc_upper": ("kc_upper()", [*_KC, joined("e1.x + 1.5 * r.x", "e1", "r")], "num"),
+    "kc_middle": ("kc_middle()", [*_KC, joined("e1.x", "e1")], "num"),
+    "kc_lower": ("kc_lower()", [*_KC, joined("e1.x - 1.5 * r.x", "e1", "r")], "num"),
+    "kc_width": ("kc_width()", [*_KC, joined("3 * r.x / e1.x", "e1", "r")], "num"),
+    "macd": ("macd(close)", [*_MACD, joined("m.x", "m")], "num"),
+    "macd_signal": ("macd_signal(close)", [*_MACD, ema_sql("s", "m", 9), joined("s.x", "s")], "num"),
+    "macd_hist": ("macd_hist(close)", [*_MACD, ema_sql("s", "m", 9), joined("m.x - s.x", "m", "s")], "num"),
+    "plus_di": ("plus_di()", [*_DM, joined("rp.x / rt.x * 100", "rp", "rt")], "num"),
+    "minus_di": ("minus_di()", [*_DM, joined("rm.x / rt.x * 100", "rm", "rt")], "num"),
+    "adx": (
+        "adx()",
+        [*_DM, "dx AS (SELECT rp.rn, abs(rp.x - rm.x) / (rp.x + rm.x) * 100 AS x FROM rp JOIN rm USING (rn))", rma_sql("a", "dx", 14, 13), joined("a.x", "a")],
+        "num",
+    ),
+    "supertrend": ("supertrend()", [*_SUPER, joined("st.x", "st")], "num"),
+    "supertrend_dir": ("supertrend_dir()", [*_SUPER, joined("st.dir", "st")], "num"),
+    "sar": ("sar()", [*_SAR, joined("st.x", "st")], "num"),
+}
+
+
+def _typed(x: str, kind: str, places: int = 4) -> str:
+    return {"num": rnd(x, places), "int": f"CAST({x} AS BIGINT)", "bool": x, "date": x}[kind]
+
+
+for _name, (_text, _sql, _kind) in ROWS.items():
+    _places = 2 if _name == "vwma" else 4
+    ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH {NUMBERED} SELECT {TS}, {_typed(_sql, _kind, _places)} AS x FROM bars", _places)
+for _name, (_text, _parts, _kind) in STEPS.items():
+    ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH RECURSIVE {NUMBERED}, {', '.join(_parts)} SELECT {TS}, {_typed('x', _kind)} AS x FROM out")
+
+TYPED = f"WITH bars AS ({intraday_sql(60)})"
+DAY = "PARTITION BY CAST(ts AS DATE)"
+for _name, _text, _sql, _kind in (
+    ("hour", "hour()", "hour(ts)", "int"),
+    ("minute", "minute()", "minute(ts)", "int"),
+    ("vwap_day", "vwap_day()", f"sum({TP} * volume) OVER ({DAY} ORDER BY ts ROWS UNBOUNDED PRECEDING) / sum(volume) OVER ({DAY} ORDER BY ts ROWS UNBOUNDED PRECEDING)", "num"),
+):
+    ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, hourly, f"{TYPED} SELECT {TS}, {_typed(_sql, _kind)} AS x FROM bars")
+TAG = "CAST(ts AS DATE) + CASE WHEN hour(ts) >= 18 THEN 1 ELSE 0 END"
+for _name, _sql in (
+    ("session_high", "max(high) OVER (PARTITION BY sid)"),
+    ("session_low", "min(low) OVER (PARTITION BY sid)"),
+    ("session_open", "first_value(open) OVER (PARTITION BY sid ORDER BY ts)"),
+    ("session_close", "last_value(close) OVER (PARTITION BY sid ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+):
+    ask(
+        f"fn_{_name}",
+        {"session": "ETH", "map": {"x": f"{_name}()"}, "columns": ["ts", "x"]},
+        hourly,
+        f"WITH b0 AS ({intraday_sql(60)}), bars AS (SELECT *, {TAG} AS sid FROM b0 WHERE hour(ts) >= 18 OR hour(ts) < 17) SELECT {TS}, {rnd(_sql)} AS x FROM bars",
+        sessions=SESSIONS,
+    )
+
+# Aggregation contexts
+
+B = f"WITH bars AS ({DAILY})"
+ask("agg_grouped", {"map": {"y": "year()"}, "group_by": "y", "select": "count(), mean(close), sum(volume), max(high), min(low), std(close), median(close)"}, daily,
+    f"{B} SELECT CAST(year(ts) AS BIGINT) AS y, count(*) AS count, {rnd('avg(close)')} AS mean_close, {rnd('sum(volume)')} AS sum_volume, {rnd('max(high)')} AS max_high, {rnd('min(low)')} AS min_low, {rnd('stddev_samp(close)')} AS std_close, {rnd('median(close)')} AS median_close FROM bars GROUP BY 1")
+ask("agg_multi_key", {"map": {"y": "year()", "up": "close > open"}, "group_by": ["y", "up"], "select": "count(), pct(up)"}, daily,
+    f"{B} SELECT CAST(year(ts) AS BIGINT) AS y, close > open AS up, count(*) AS count, {rnd('avg(CAST(close > open AS INT))')} AS pct_up FROM bars GROUP BY 1, 2")
+ask("agg_scalar", {"where": "close > open", "select": "mean(close)"}, daily, f"{B} SELECT {rnd('avg(close)')} AS mean_close FROM bars WHERE close > open")
+ask("agg_dict", {"select": ["count()", "max(high)", "min(low)", "max(high) - min(low)"]}, daily, f"{B} SELECT count(*) AS count, {rnd('max(high)')} AS max_high, {rnd('min(low)')} AS min_low, {rnd('max(high) - min(low)')} AS \"max(high) - min(low)\" FROM bars")
+ask("agg_pct", {"map": {"g": "gap_pct()"}, "select": "pct(g > 0)"}, daily, f"{B}, g AS (SELECT open > {lag('close')} AS g FROM bars) SELECT {rnd('sum(CASE WHEN g THEN 1 ELSE 0 END) / count(*)')} AS \"pct(g > 0)\" FROM g")
+ask("agg_percentile", {"select": ["percentile(close, 0.95)"]}, daily, f"{B} SELECT {rnd('quantile_cont(close, 0.95)')} AS \"percentile_close\" FROM bars")
+ask("agg_correlation", {"select": ["correlation(close, open)"]}, daily, f"{B} SELECT {rnd('corr(close, open)')} AS correlation_close FROM bars")
+ask("agg_last", {"select": "last(close)"}, daily, f"{B} SELECT {rnd('arg_max(close, ts)')} AS last_close FROM bars")
+ask("agg_broadcast", {"map": {"above": "close > mean(close)"}, "where": "above", "select": "count()"}, daily, f"{B} SELECT count(*) AS count FROM bars WHERE close > (SELECT avg(close) FROM bars)")
+ask("where_window", {"map": {"m": "sma(close, 20)"}, "where": "close > m and prev(close) <= m", "columns": ["ts", "m"]}, daily,
+    f"{B}, w AS (SELECT ts, close, {full('avg', 'close', 20)} AS m, {lag('close')} AS p FROM bars) SELECT {TS}, {rnd('m')} AS m FROM w WHERE close > m AND p <= m")
+
+# Steps, order, projection, lineage
+
+ask("steps_two", {"steps": [{"map": {"y": "year()", "m": "month()"}, "group_by": ["y", "m"], "select": "sum(volume)"}, {"group_by": "y", "select": "mean(sum_volume)"}]}, daily,
+    f"{B}, s AS (SELECT year(ts) AS y, month(ts) AS m, sum(volume) AS v FROM bars GROUP BY 1, 2) SELECT CAST(y AS BIGINT) AS y, {rnd('avg(v)')} AS mean_sum_volume FROM s GROUP BY 1")
+ask("steps_three", {"steps": [{"from": "weekly", "map": {"r": "range()"}}, {"map": {"big": "r > mean(r)"}, "where": "big"}, {"map": {"y": "year()"}, "group_by": "y", "select": "count(), mean(r)"}]}, daily,
+    f"{B}, w AS (SELECT date_trunc('week', ts) + INTERVAL 6 DAY AS ts, max(high) - min(low) AS r FROM bars GROUP BY 1) SELECT CAST(year(ts) AS BIGINT) AS y, count(*) AS count, {rnd('avg(r)')} AS mean_r FROM w WHERE r > (SELECT avg(r) FROM w) GROUP BY 1")
+ask("steps_nested", {"steps": [{"map": {"y": "year()", "q": "quarter()"}, "group_by": ["y", "q"], "select": "mean(close)"}, {"group_by": "y", "select": "max(mean_close)"}, {"select": "mean(max_mean_close)"}]}, daily,
+    f"{B}, s AS (SELECT year(ts) AS y, quarter(ts) AS q, avg(close) AS v FROM bars GROUP BY 1, 2), t AS (SELECT y, max(v) AS v FROM s GROUP BY 1) SELECT {rnd('avg(v)')} AS mean_max_mean_close FROM t")
+ask("sort_limit", {"map": {"r": "range()"}, "sort": "r desc", "limit": 10, "columns": ["ts", "r"]}, daily, f"{B} SELECT {TS}, {rnd('high - low')} AS r FROM bars ORDER BY high - low DESC, bars.ts LIMIT 10")
+ask("columns", {"map": {"r": "range()"}, "columns": ["date", "close", "r", "nothing"]}, daily, f"{B} SELECT strftime(ts, '%Y-%m-%d') AS date, {rnd('close')} AS close, {rnd('high - low')} AS r FROM bars")
+ask("multi_symbol", {"map": {"m": "sma(close, 10)", "d": "close > m"}, "group_by": "symbol", "select": "count(), pct(d), mean(m)"}, lambda s, d: src.order_bars(s, d, True),
+    f"WITH bars AS ({DAILY_MULTI}), w AS (SELECT symbol, close, CASE WHEN count(close) OVER w = 10 THEN avg(close) OVER w END AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) "
+    f"SELECT symbol, count(*) AS count, {rnd('avg(CASE WHEN close > m THEN 1 ELSE 0 END)')} AS pct_d, {rnd('avg(m)')} AS mean_m FROM w GROUP BY 1")
+add("source_rows", lambda s, d: shown(plan({"map": {"r": "range()"}, "where": "r > 300000", "select": "mean(r)"}, daily(s, d)).source.select("ts", "r")), f"{B} SELECT {TS}, {rnd('high - low')} AS r FROM bars WHERE high - low > 300000")
+add("summary_stats", lambda s, d: shown(response.statistics(plan({"map": {"r": "range()"}}, daily(s, d))), 2), f"{B} SELECT count(*) AS rows, {rnd('min(high - low)', 2)} AS r_min, {rnd('max(high - low)', 2)} AS r_max, {rnd('avg(round(high - low, 4))', 2)} AS r_mean FROM bars")
+add("formatted_labels", lambda s, d: response.formatted(plan({"map": {"dow": "dayofweek()", "m": "month()"}, "group_by": ["dow", "m"]}, daily(s, d))), f"{B} SELECT dayname(ts) AS dow, monthname(ts) AS m, count(*) AS count FROM bars GROUP BY 1, 2")
+
+# Sessions, profiles and comparisons
+
+add("session_gap", lambda s, d: tf.gap_sessions(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("symbol"), "ts")).groupBy("symbol").agg(F.max("__session_id").alias("sessions")),
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 90 MINUTE THEN 1 ELSE 0 END AS n FROM events) SELECT symbol, CAST(sum(n) AS BIGINT) AS sessions FROM e GROUP BY 1")
+add("session_profile", lambda s, d: shown(cal.session_profile(hourly(s, d)).drop("symbol")),
+    f"{TYPED}, p AS (SELECT CAST({MINUTE} AS BIGINT) AS minute, count(*) AS bars, sum(volume) AS volume FROM bars GROUP BY 1) SELECT minute, bars, volume, minute - coalesce(lag(minute) OVER (ORDER BY minute), -1) - 1 AS empty_before FROM p")
+add("compare_daily", lambda s, d: shown(cal.compare_daily(tf.resample(hourly(s, d), "daily"), src.event_bars(s, d, 1440)).drop("symbol")),
+    f"WITH bars AS ({intraday_sql(1440)}) SELECT CAST(ts AS DATE) AS date, {rnd('close')} AS close_a, {rnd('close')} AS close_b, 0.0 AS diff FROM bars")
+
+# Simulator
+
+STRATEGIES = {
+    "stop": bt.Strategy("close > open", stop_loss="2%", exit_bars=10),
+    "tp": bt.Strategy("close < prev(close)", take_profit="20%", stop_loss="30%", exit_bars=20),
+    "trailing": bt.Strategy("rising(close, 2)", trailing_stop="10%", exit_bars=15),
+    "breakeven": bt.Strategy("close > open", stop_loss="40%", breakeven_bars=2, exit_bars=12),
+    "target": bt.Strategy("close < sma(close, 10)", exit_target="sma(close, 10)", stop_loss="50%", exit_bars=8),
+    "short": bt.Strategy("falling(close, 2)", "short", stop_loss="15%", take_profit="15%", slippage=10, commission=5),
+}
+
+
+def trades(spark, d, name):
+    return bt.simulate(src.order_bars(spark, d, True), STRATEGIES[name])
+
+
+def shown_trades(df: DataFrame) -> DataFrame:
+    return shown(df.select("symbol", "entry_date", "entry_price", "exit_date", "exit_price", "direction", "pnl", "exit_reason", "bars_held"))
+
+
+for _name in STRATEGIES:
+    add(f"bt_trades_{_name}", lambda s, d, n=_name: shown_trades(trades(s, d, n)))
+TIMEOUT = bt.Strategy("dayofweek() in [0, 1, 2, 3, 4, 5, 6]", exit_bars=4)
+_T = (
+    f"WITH RECURSIVE b0 AS ({DAILY}), bars AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM b0), "
+    "t AS (SELECT a.rn, CAST(a.ts AS DATE) AS entry_date, a.open AS entry_price, CAST(b.ts AS DATE) AS exit_date, b.close AS exit_price, b.close - a.open AS pnl, "
+    "CASE WHEN b.rn - a.rn = 4 THEN 'timeout' ELSE 'end' END AS exit_reason, b.rn - a.rn AS bars_held FROM bars a JOIN bars b ON b.rn = least(a.rn + 4, a.n) WHERE a.rn % 5 = 2 AND a.rn < a.n)"
+)
+add("bt_trades_timeout", lambda s, d: shown_trades(bt.simulate(daily(s, d), TIMEOUT)).drop("symbol", "direction"),
+    f"{_T} SELECT entry_date, {rnd('entry_price')} AS entry_price, exit_date, {rnd('exit_price')} AS exit_price, {rnd('pnl')} AS pnl, exit_reason, bars_held FROM t")
+_P = f"{_T}, p AS (SELECT *, round(pnl, 4) AS p, sum(round(pnl, 4)) OVER (ORDER BY rn) AS e FROM t), q AS (SELECT *, greatest(0, max(e) OVER (ORDER BY rn)) AS peak FROM p)"
+add("bt_equity", lambda s, d: shown(bt.equity(bt.simulate(daily(s, d), TIMEOUT)).select("entry_date", "equity", "drawdown"), 2), f"{_P} SELECT entry_date, {rnd('e', 2)} AS equity, {rnd('e - peak', 2)} AS drawdown FROM q")
+add("bt_metrics", lambda s, d: shown(bt.metrics(bt.simulate(daily(s, d), TIMEOUT)).drop("symbol", "max_consecutive_wins", "max_consecutive_losses"), 2),
+    f"{_P} SELECT count(*) AS total_trades, count(*) FILTER (p > 0) AS winning_trades, count(*) FILTER (p <= 0) AS losing_trades, {rnd('100.0 * count(*) FILTER (p > 0) / count(*)', 2)} AS win_rate, "
+    f"{rnd('sum(p) FILTER (p > 0) / -sum(p) FILTER (p <= 0)', 2)} AS profit_factor, {rnd('avg(p) FILTER (p > 0)', 2)} AS avg_win, {rnd('avg(p) FILTER (p <= 0)', 2)} AS avg_loss, {rnd('max(peak - e)', 2)} AS max_drawdown, "
+    f"{rnd('sum(p)', 2)} AS total_pnl, {rnd('avg(p)', 2)} AS expectancy, {rnd('avg(bars_held)', 2)} AS avg_bars_held, {rnd('sum(p) / max(peak - e)', 2)} AS recovery_factor, "
+    f"{rnd('sum(p) FILTER (p > 0)', 2)} AS gross_profit, {rnd('sum(p) FILTER (p <= 0)', 2)} AS gross_loss FROM q")
+_RUNS = f"{_P}, r AS (SELECT p > 0 AS w, rn, row_number() OVER (ORDER BY rn) - row_number() OVER (PARTITION BY p > 0 ORDER BY rn) AS g FROM q), c AS (SELECT w, g, count(*) AS n FROM r GROUP BY 1, 2)"
+add("bt_runs", lambda s, d: shown(bt.metrics(bt.simulate(daily(s, d), TIMEOUT)).select("max_consecutive_wins", "max_consecutive_losses")), f"{_RUNS} SELECT max(n) FILTER (w) AS max_consecutive_wins, max(n) FILTER (NOT w) AS max_consecutive_losses FROM c")
+_SUMS = f"count(*) AS trades, count(*) FILTER (p > 0) AS wins, {rnd('sum(p)', 2)} AS pnl"
+add("bt_by_exit", lambda s, d: shown(bt.by_exit(bt.simulate(daily(s, d), TIMEOUT)), 2), f"{_P} SELECT exit_reason, {_SUMS} FROM q GROUP BY 1")
+add("bt_by_year", lambda s, d: shown(bt.by_year(bt.simulate(daily(s, d), TIMEOUT)), 2), f"{_P} SELECT CAST(year(entry_date) AS BIGINT) AS year, {_SUMS} FROM q GROUP BY 1")
+add("bt_top3", lambda s, d: shown(bt.top_share(bt.simulate(daily(s, d), TIMEOUT)), 2),
+    f"{_P} SELECT {rnd('sum(p)', 2)} AS total_pnl, {rnd('(SELECT sum(p) FROM (SELECT p FROM q ORDER BY p DESC LIMIT 3))', 2)} AS top_pnl, {rnd('(SELECT sum(p) FROM (SELECT p FROM q ORDER BY p DESC LIMIT 3)) / abs(sum(p)) * 100', 2)} AS share FROM q")
+add("bt_fine_bars", lambda s, d: shown_trades(bt.simulate(src.event_bars(s, d, 60, True), bt.Strategy("close > open", stop_loss="30%", take_profit="30%", exit_bars=6), "4h", src.ticks(s, d, True))))
+
+# Calendar
+
+_MONTHS = "m AS (SELECT CAST(range AS DATE) AS m FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH))"
+_NTH = "m + CAST((12 - dayofweek(m)) % 7 AS INT)"  # first Friday
+add("cal_opex", lambda s, d: cal.event_dates(s, "opex", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 14 AS date FROM m")
+add("cal_nfp", lambda s, d: cal.event_dates(s, "nfp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} AS date FROM m")
+add("cal_vix", lambda s, d: cal.event_dates(s, "vix_exp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 12 AS date FROM m")
+add("cal_quad_witching", lambda s, d: cal.event_dates(s, "quad_witching", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 14 AS date FROM m WHERE month(m) IN (3, 6, 9, 12)")
+add("cal_holidays", lambda s, d: cal.holidays(s, 1995, 2001))
+_OBSERVED = "d - CAST(dayofweek(d) = 6 AS INT) + CAST(dayofweek(d) = 0 AS INT)"
+add("cal_fixed_holidays", lambda s, d: cal.holidays(s, 1995, 2030).filter("exchange = 'CME' and holiday in ('juneteenth', 'independence_day', 'christmas')").select("date", "holiday"),
+    f"WITH y AS (SELECT range AS y FROM range(1995, 2031)), r AS (SELECT make_date(y, 6, 19) AS d, 'juneteenth' AS holiday FROM y UNION ALL SELECT make_date(y, 7, 4), 'independence_day' FROM y UNION ALL SELECT make_date(y, 12, 25), 'christmas' FROM y) SELECT {_OBSERVED} AS date, holiday FROM r")
+add("cal_day_type", lambda s, d: cal.annotate_holidays(daily(s, d).select(F.to_date("ts").alias("date")), s, "CME"))
+_OPEX = "date_trunc('month', d) + INTERVAL 14 DAY"
+add("annotate_events", lambda s, d: cal.annotate_events(daily(s, d).select(F.to_date("ts").alias("date")), s).select("date", F.concat_ws(",", "events").alias("events"), "high_impact"),
+    f"WITH b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), x AS (SELECT d, dayofweek(d) AS w, day(d) AS n, month(d) AS m FROM b), "
+    "y AS (SELECT d, w = 5 AND n BETWEEN 15 AND 21 AS o, w = 5 AND n <= 7 AS f, w = 3 AND n BETWEEN 13 AND 19 AS v, m IN (3, 6, 9, 12) AS q FROM x) "
+    "SELECT d AS date, CASE WHEN o AND q THEN 'quad_witching' WHEN o THEN 'opex' WHEN f THEN 'nfp' WHEN v THEN 'vix_expiration' ELSE '' END AS events, (o AND q) OR f AS high_impact FROM y")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    missing = [f for f in REGISTRY if f"fn_{f}" not in QUERIES]
+    if missing:
+        raise LookupError(f"functions without a query: {missing}")
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
