@@ -24,7 +24,7 @@ from .common import pin, text_key
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-CELL_ROWS = 2_000
+CELL_ROWS = 20_000
 EXACT_ROWS = 100_000
 STEPS = 1024
 
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, epochs:
         .select("doc_id", "tkey", "size", "source_size", "target", "order", (F.col("offset") + F.col("run")).alias("run")),
         "times",
     )
-    finish = [((F.col("run") + F.col("source_size") * e) / F.col("target")) for e in range(epochs)]
+    finish = [F.try_divide(F.col("run") + F.col("source_size") * e, F.col("target")) for e in range(epochs)]
     queue = timed.filter("size > 0").select("size", "order", F.explode(F.array(*finish)).alias("vf"))
     vf, order = _cut(queue, int(total * budget))
     taken = [F.when((F.col("size") > 0) & ((f < vf) | ((f == vf) & (F.col("order") <= order))), 1).otherwise(0) for f in finish]
