@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pin
+from .common import pin, text_key
 
 RADIUS = 2
 SHINGLE = 3
@@ -62,14 +62,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, tkey, fp) with the text's digest, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(x.as_py(), shingle) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "tkey", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, tkey string, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,17 +187,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id."""
+    """One row per document: doc_id, tkey (the text's digest), fp (signed long), root (the component's own fingerprint), component_id."""
     rows = pin(fingerprints(docs, shingle), "fingerprints")
     nodes = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(nodes.select("fp"), radius, tile))
     grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "tkey", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id, once if its row is repeated."""
-    kept = near_duplicates(docs, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component: the one with the smallest doc_id, by text digest among equal ids, once if its row is repeated."""
+    found = near_duplicates(docs, radius, shingle)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by(F.struct("doc_id", "tkey"), "tkey").alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tkey").alias("__t"))
+    keyed = docs.withColumn("__tkey", text_key())
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__t")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__tkey"]).select(*docs.columns)
