@@ -208,7 +208,7 @@ ROWS: dict[str, tuple[str, str, str]] = {
     "rolling_std": ("rolling_std(close, 20)", full("stddev_samp", "close", 20), "num"),
     "rolling_count": ("rolling_count(close > open, 10)", full("sum", "CAST(close > open AS INT)", 10), "num"),
     "wma": ("wma(close, 5)", wma_sql("close", 5), "num"),
-    "vwma": ("vwma(20)", f"CASE WHEN count(close) {last(20)} = 20 THEN sum(close * volume) {last(20)} / sum(volume) {last(20)} END", "num"),
+    "vwma": ("vwma(20) / 7.1234567", f"CASE WHEN count(close) {last(20)} = 20 THEN sum(close * volume) {last(20)} / sum(volume) {last(20)} / 7.1234567 END", "num"),
     "cummax": ("cummax(close)", f"max(close) {SO_FAR}", "num"),
     "cummin": ("cummin(close)", f"min(close) {SO_FAR}", "num"),
     "cumsum": ("cumsum(volume)", f"sum(volume) {SO_FAR}", "num"),
@@ -410,13 +410,12 @@ STEPS: dict[str, tuple[str, list[str], str]] = {
 }
 
 
-def _typed(x: str, kind: str, places: int = 4) -> str:
-    return {"num": rnd(x, places), "int": f"CAST({x} AS BIGINT)", "bool": x, "date": x}[kind]
+def _typed(x: str, kind: str) -> str:
+    return {"num": rnd(x), "int": f"CAST({x} AS BIGINT)", "bool": x, "date": x}[kind]
 
 
 for _name, (_text, _sql, _kind) in ROWS.items():
-    _places = 2 if _name == "vwma" else 4
-    ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH {NUMBERED} SELECT {TS}, {_typed(_sql, _kind, _places)} AS x FROM bars", _places)
+    ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH {NUMBERED} SELECT {TS}, {_typed(_sql, _kind)} AS x FROM bars")
 for _name, (_text, _parts, _kind) in STEPS.items():
     ask(f"fn_{_name}", {"map": {"x": _text}, "columns": ["ts", "x"]}, daily, f"WITH RECURSIVE {NUMBERED}, {', '.join(_parts)} SELECT {TS}, {_typed('x', _kind)} AS x FROM out")
 
