@@ -34,7 +34,7 @@ from .common import shared_path
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
-CACHE = 200_000
+CACHE = 600_000
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 
 
@@ -44,29 +44,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+_known: dict[str, dict[str, bytes]] = {}
+
+
 def encoder(path: str):
-    """A function from texts to arrays of ids."""
+    """A function from texts to arrays of ids. What words encode to is remembered for the life of the process."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[str, list[int]] = {}
+    known = _known.setdefault(path, {})
+    end = np.array([END], "<u2").tobytes()
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        out = []
         split = [[t] if any(s in t for s in special) else t.split() for t in texts]
         if len(known) > CACHE:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
+        new = list({w for words in split for w in words}.difference(known))
         if new:
             for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = found.ids
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(np.array([*ids, END], np.uint32))
-        return out
+                known[word] = np.array(found.ids, "<u2").tobytes()
+        return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u2") for words in split]
 
     return run
 
