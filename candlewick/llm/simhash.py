@@ -23,17 +23,26 @@ Null and empty texts have fingerprint zero and link like any other; texts with
 fewer words than a shingle are one shingle; repeated rows share a component;
 rows with a null doc_id take part, but null names no component unless all
 members are null. Other columns are ignored; an empty table gives no rows.
+
+``near_copies`` is for cleaning a corpus: texts link if the Jaccard similarity
+of their sets of shingles (five words, as XXH64 values) is 0.8 or more. At that
+similarity fingerprints are expected to differ by about 10 of 64 bits, many pairs
+by more; at such a radius the bands of bits hardly part the rows and nearly every
+pair would be compared. So cells
+are MinHash bands, and each pair is confirmed on the sets themselves. Texts
+with one set are one row; texts without words link with one another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +52,10 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 TILE = 2048
+# Near copies: shared part of all distinct five-word shingles, and MinHash bands that meet at 0.8 with probability 1 - (1 - 0.8 ** 4) ** 20 = 0.99997.
+SIMILARITY = 0.8
+COPY_SHINGLE = 5
+BANDS, ROWS = 20, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -196,9 +209,122 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return rows.join(named, "fp").select("doc_id", "tkey", "fp", "root", "component_id")
 
 
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH64 values; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) + 1 - shingle))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """MinHash keys, one for each of ``BANDS`` bands of ``ROWS`` minima; equal in a band with probability similarity ** ROWS."""
+    r = np.random.default_rng(SEED)
+    mask, factor = r.integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        mixed = (hashes[None, at : at + 512] ^ mask) * (factor | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        low = np.minimum(low, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, tkey, node, size, keys): the digest of the text's set of shingles, its size and its MinHash keys (none for an empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py(), shingle) for x in batch.column(2)]
+            nodes = pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], pa.string())
+            keys = pa.array([bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "tkey", "node", "size", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, tkey string, node string, size long, keys array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda side, name: sets.select(F.col("node").alias(side), F.col("hashes").alias(name))
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u string, v string")
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Fewer rows in an Arrow batch for what is written inside: rows here carry whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 500)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, tkey, root (of the component), component_id; texts link at the Jaccard similarity of their sets of shingles."""
+    with small_batches(docs.sparkSession):
+        rows = pin(sketches(docs, shingle), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = pin(nodes, "distinct")
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    cells = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).filter("n > 1")
+    cells = pin(keyed.join(cells, ["band", "key"]), "cells")
+    # Only texts that share a cell are read again.
+    wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi").select("tkey", "node")
+    texts = docs.select(text_key().alias("tkey"), F.col("text").cast("string").alias("text")).join(wanted, "tkey").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    with small_batches(docs.sparkSession):
+        sets = pin(texts.select("node", "text").mapInArrow(run, "node string, hashes array<long>"), "sets")
+    alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+    # First each cell's members against one of them: a large group of copies is joined by as many pairs as it has members.
+    pairs = cells.filter((F.col("node") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    with small_batches(docs.sparkSession):
+        edges = pin(confirmed(pairs, sets, similarity), "edges")
+    roots = components(edges)
+    # Then, in cells that still hold several components, all pairs between these; a large cell is dealt to many tasks.
+    left = cells.join(roots, "node", "left").select("node", "size", "band", "key", "n", F.coalesce("root", "node").alias("root"))
+    mixed = left.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("band", "key")
+    left = pin(left.join(mixed, ["band", "key"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")), "mixed")
+    a = left.select("band", "key", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"), F.col("node").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
+    b = left.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.col("node").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
+    pairs = a.join(b, ["band", "key", "t"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & alike(F.col("su"), F.col("sv"))).select("u", "v").distinct()
+    with small_batches(docs.sparkSession):
+        more = pin(confirmed(pairs, sets, similarity), "edges")
+    if more.limit(1).count():
+        roots = components(edges.union(more))
+    grouped = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return rows.join(named, "node").select("doc_id", "tkey", "root", "component_id")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id, by text digest among equal ids, once if its row is repeated."""
-    found = near_duplicates(docs, radius, shingle)
+    """``docs`` with one document of each component of ``near_duplicates``."""
+    return _first(docs, near_duplicates(docs, radius, shingle))
+
+
+def keep_one_copy(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component of ``near_copies``."""
+    return _first(docs, near_copies(docs, similarity, shingle))
+
+
+def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the document with the smallest doc_id, by text digest among equal ids, once if its row is repeated."""
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by(F.struct("doc_id", "tkey"), "tkey").alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tkey").alias("__t"))
     keyed = docs.withColumn("__tkey", text_key())

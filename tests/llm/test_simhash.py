@@ -71,3 +71,40 @@ def test_empty_and_null_ids(make_docs):
 def test_one_id_for_different_texts(make_docs, prose):
     docs = make_docs([prose(1, 90), prose(2, 90), prose(1, 90), prose(3, 90)], ids=[1, 1, 1, 2])
     assert sorted(r.text for r in sh.keep_one(docs).collect()) == sorted([prose(1, 90), prose(2, 90), prose(3, 90)])
+
+
+def brute_copies(texts, similarity=0.8):
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_planted_near_copies(spark, make_docs, odd_texts, prose):
+    import corpus_pipeline as cp
+
+    r, texts = np.random.default_rng(3), list(odd_texts)
+    for i in range(25):  # copies with some words changed, of several lengths, chains of copies of copies, and texts just too far
+        words = prose(100 + i, int(r.integers(40, 500))).split()
+        texts.append(" ".join(words))
+        for k in range(8):
+            words = list(words if k % 2 else texts[-1].split())
+            for at in r.choice(len(words), max(1, len(words) * (k + 1) // 300), replace=False):
+                words[at] = f"new{k}"
+            texts.append(" ".join(words))
+    texts += [prose(7, 5), prose(7, 6), "two words", "TWO  words"]
+    want = brute_copies(texts)
+    assert len(set(brute_components([brute_fingerprint(t) for t in texts]))) > len(set(want))
+    docs = make_docs(texts)
+    for tile in (3, 2048):
+        rows = {x.doc_id: x.component_id for x in sh.near_copies(docs, tile=tile).collect()}
+        assert [rows[i] for i in range(len(texts))] == want
+    assert sorted(x.doc_id for x in cp.near_duplicates_stage(spark, docs, "").collect()) == sorted(set(want))
+    assert sh.keep_one_copy(docs.limit(0)).count() == 0
