@@ -9,8 +9,8 @@ and lengths beside the coded bytes, so Spark's readers and writers carry it to
 any store. Reading gives the ids back and verifies every block.
 
 Words between white space are encoded once and remembered (this tokenizer
-drops white space and never joins over it; texts with a special token's text
-are encoded whole). A position in the whole corpus is the sum of the segments
+drops white space, which for it is Unicode's and not U+001C to U+001F, and never
+joins over it; texts with a special token's text are encoded whole). A position in the whole corpus is the sum of the segments
 before it, from a small table of segment sizes.
 
 Null and empty texts are just the end id; repeated rows are documents of their
@@ -19,6 +19,7 @@ own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
 CACHE = 600_000
+# Python counts these as white space, the tokenizer does not: it gives them ids.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 
 
@@ -57,7 +61,7 @@ def encoder(path: str):
     end = np.array([END], "<u2").tobytes()
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        split = [[t] if any(s in t for s in special) else t.split() for t in texts]
+        split = [[t] if any(s in t for s in special) else SPACE.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         if len(known) > CACHE:
             known.clear()
         new = list({w for words in split for w in words}.difference(known))

@@ -55,3 +55,25 @@ def test_segments_and_reading(spark, make_docs, prose, tmp_path):
     tokens.write(docs, path, segment=700)
     assert spark.read.parquet(path).count() > 5
     assert sum(len(r.ids) for r in tokens.read(spark, path).collect()) == sum(r.n_tokens for r in tokens.digests(spark, path).collect())
+
+
+def test_separators_are_no_white_space(spark, make_docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["a\x1cb", "a\x1db \x1e c", "\x1f", "one\x1f two\x1c\x1c three\x85four", " \x1ea b\x1d ", "<|endoftext|>\x1c x", "plain words"]
+    rows = sorted(tokens.write_and_check(make_docs(texts)).collect(), key=lambda r: r.start)
+    at = 0
+    for r, text in zip(rows, texts, strict=True):
+        own = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
+
+
+def test_every_character_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(tokens.default_tokenizer()), tokens.encoder(tokens.default_tokenizer())
+    texts = [f"a{chr(c)}b {chr(c)} c" for c in range(0x3100)]
+    for text, own in zip(texts, encode(texts), strict=True):
+        assert own.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
