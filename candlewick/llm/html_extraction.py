@@ -7,7 +7,8 @@ weigh nothing. Over windows of ``WIDTH`` lines the weights are summed: a line
 where the sum rises above the threshold is a surge, the line after which the
 windows stay empty is a dive, and the lines between are the text. A page that
 marks its article (article, main, or a role or property of that meaning) has
-its threshold at zero inside it and text nowhere else.
+its threshold at zero inside it and text nowhere else. Class names count as whole words only, and an element that holds most of the
+page's text is not set apart by its name.
 
 White space in a block becomes one space, character references are decoded,
 empty blocks go, blocks are joined by an empty line in page order. Null and
@@ -37,12 +38,17 @@ RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|but
 APART = frozenset("nav footer aside form menu dialog head".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+PART = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|widget|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|trending|comments?|commentlist|"
-    r"disqus|replies|reply|respond|reviews?|skip-link|copyright|disclaimer|tags?)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"disqus|replies|reply|respond|reviews?|skip-link|copyright|disclaimer|tags?)"
 )
+KIND = (
+    r"(?:buttons?|btns?|links?|icons?|bar|box|list|lists|cloud|items?|area|section|container|wrapper|wrap|inner|outer|block|unit|slot|panel|group|row|title|header|heading|text|message|policy|"
+    r"form|thread|stories|posts?|articles?|content|media|left|right|top|bottom|primary|secondary|sticky|fixed|mobile|desktop)"
+)
+# A whole class or id: "share-buttons" or "site-footer", but not "tag-news" or "no-sidebar", which say something else.
+NAMES = re.compile(rf"(?:(?:post|entry|article|page|site|main|global|blog|user|reader)[-_]+)?{PART}(?:[-_]+(?:{PART}|{KIND}))*|(?:ads?|banner|comment|reply|sidebar|widget)[-_]?\d+", re.IGNORECASE)
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*+)/?>",
@@ -57,7 +63,7 @@ def _about(attributes: str) -> tuple[bool, bool]:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            apart |= bool(NAMES.search(value))
+            apart |= any(NAMES.fullmatch(x) for x in value.split())
         elif name == "role":
             apart |= value in ROLES
             article |= value in ("main", "article")
@@ -68,19 +74,25 @@ def _about(attributes: str) -> tuple[bool, bool]:
     return apart, article
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in the article) of each line; what stands apart is an empty line."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str, exempt: set[int] | None, named: dict[int, list[int]]) -> list[tuple[str, int, int]]:
+    """(text, weight, number of the marked element or 0) of each line; what stands apart is an empty line.
+
+    Of elements that stand apart by name only, ``named`` gets the place, the
+    weight and whether they are marked as an article. Those at the places in
+    ``exempt`` (None: at any place) do not stand apart.
+    """
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     skip, depth = "", 0
     inside: list[str] = []
     in_link = False
+    marked, name = 0, None
 
     def end() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
-        out.append((text, max(0, len(text) - linked), bool(inside)))
+        out.append((text, max(0, len(text) - linked), marked if inside else 0))
         parts.clear()
         linked = 0
 
@@ -90,19 +102,23 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
+        elif name is not None and not in_link:
+            named[name][0] += len(" ".join(page[at : m.start()].split()))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         closing = bool(m[2])
         if skip:
+            if tag == "a":
+                in_link = not closing
             if tag == skip:
                 depth += -1 if closing else 1
             gone = depth == 0 or (skip == "p" and tag in BLOCKS and tag != "p")
             if skip == "p" and tag == "p" and not closing:
                 gone = True
             if gone or (not closing and tag in ("article", "main", "body") and tag != skip and not inside) or (closing and tag in ("article", "main", "body") and tag != skip):
-                was, skip, depth = skip, "", 0
+                was, skip, depth, name = skip, "", 0, None
                 end()
                 if closing and tag == was:
                     continue
@@ -121,13 +137,21 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     pass
             continue
         apart, article = _about(m[4]) if m[4] else (False, False)
-        if tag in APART or (tag == "header" and not inside) or (apart and tag not in ("body", "html", "main")):
+        article |= tag in ("article", "main")
+        by_name = apart and tag not in ("body", "html", "main") and exempt is not None and m.start() not in exempt
+        if tag in APART or (tag == "header" and not inside) or by_name:
             if tag not in VOID:
                 skip, depth = tag, 1
-        elif tag in ("article", "main") or article or (inside and tag in inside):
+                if by_name and tag not in APART and tag != "header":
+                    name = m.start()
+                    named[name] = [0, article]
+        elif article or (inside and tag in inside):
+            marked += not inside
             inside.append(tag)
     if not skip:
         parts.append(page[at:])
+    elif name is not None:
+        named[name][0] += len(" ".join(page[at:].split()))
     end()
     return out
 
@@ -151,8 +175,30 @@ def between(weights: list[int], threshold: int, width: int = WIDTH) -> list[tupl
     return found
 
 
+def text_lines(page: str) -> list[tuple[str, int, int]]:
+    """Lines of a page, where elements that hold most of its text stay whatever they are called."""
+    exempt: set[int] | None = set()
+    while True:
+        named: dict[int, list[int]] = {}
+        rows = lines(page, exempt, named)
+        if not named:
+            return rows
+        left = sum(w for _, w, _ in rows)
+        total = left + sum(n for n, _ in named.values())
+        articles = [at for at, (_, article) in named.items() if article]
+        found = {at for at, (n, _) in named.items() if 3 * n > 2 * total}
+        if 2 * sum(named[at][0] for at in articles) > total:
+            found.update(articles)
+        if not found and not left and total:
+            found.update(named)
+        if not found:
+            return rows
+        # Names nested deeper than any real page's say nothing.
+        exempt = exempt | found if len(exempt) < 64 else None
+
+
 def extract(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD) -> str:
-    rows = lines(page or "")
+    rows = text_lines(page or "")
     if any(inside and text for text, _, inside in rows):
         rows = [(text, len(text) if inside else 0, inside) for text, _, inside in rows]
         threshold = 0

@@ -85,3 +85,27 @@ def test_texts_as_samples(make_docs, odd_texts):
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-16:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media.wav(payload)).hexdigest()
+
+
+LONG = "This sentence is long enough to count as text when it stands in a line of its own, and it does."
+BODY = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+WANT = "\n\n".join(f"{LONG} {i}" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<article class="post type-post hentry tag-news">', "</article>"),
+        ('<div class="layout no-sidebar">', "</div>"),
+        ('<div class="widget"><div class="side">', "</div></div>"),
+        ('<article class="review">', "</article>"),
+        ('<div id="comments-off" role="article" class="has-related">', "</div>"),
+    ],
+)
+def test_names_do_not_lose_the_article(before, after):
+    page = f'<body><nav><a href=x>Home</a></nav>{before}{BODY}{after}<div class="share-buttons">Share</div><div class="cookie-notice">We use cookies</div><footer>&copy; x</footer></body>'
+    assert he.extract(page) == WANT
+
+
+def test_text_called_by_a_name_of_its_own_is_all_of_a_page():
+    assert he.extract("".join(f'<div class="widget"><p>{LONG} {i}</p></div>' for i in range(6))) == WANT
