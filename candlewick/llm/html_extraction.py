@@ -5,10 +5,14 @@ footers, sidebars, notices, adverts, forms and reader comments become empty
 lines, known by their elements, roles and class names, and lines made of links
 weigh nothing. Over windows of ``WIDTH`` lines the weights are summed: a line
 where the sum rises above the threshold is a surge, the line after which the
-windows stay empty is a dive, and the lines between are the text. A page that
-marks its article (article, main, or a role or property of that meaning) has
-its threshold at zero inside it and text nowhere else. Class names count as whole words only, and an element that holds most of the
-page's text is not set apart by its name.
+windows stay empty is a dive, and the lines between are the text. Lines in a
+marked article (article, main, or a role or property of that meaning) get
+enough extra weight to lie above the threshold, their links too. The windows
+run over the marked lines and over the others; the side with the heavier block
+is the text, where a marked element counts ``MARKED`` times, so teasers that are
+marked do not displace a body that is not. Class names count as whole
+words only, and an element that holds most of the page's text is not set apart
+by its name.
 
 White space in a block becomes one space, character references are decoded,
 empty blocks go, blocks are joined by an empty line in page order. Null and
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 3
 THRESHOLD = 86
+MARKED = 4
 
 # Elements of HTML by their role in a page.
 BLOCKS = frozenset(
@@ -199,17 +204,21 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
 
 def extract(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD) -> str:
     rows = text_lines(page or "")
-    if any(inside and text for text, _, inside in rows):
-        rows = [(text, len(text) if inside else 0, inside) for text, _, inside in rows]
-        threshold = 0
-        kept = [text for a, b in between([w for _, w, _ in rows], threshold, max(width, 1)) for text, w, _ in rows[a:b] if w]
-    else:
-        rows = [r for r in rows if r[0]] if not any(r[0] for r in rows) else rows
-        full = [r for i, r in enumerate(rows) if r[0] or (i and rows[i - 1][0])]
-        kept = [text for a, b in between([w for _, w, _ in full], threshold, width) for text, w, _ in full[a:b] if text]
-        if not kept and sum(w for _, w, _ in full) > 0:
-            kept = [text for text, w, _ in full if w]
-    return "\n\n".join(kept)
+    rows = [r for i, r in enumerate(rows) if r[0] or (i and rows[i - 1][0])]
+    # A marked line lies above the threshold by itself, so that short headings and closing lines stay.
+    inner = [len(text) + threshold + 1 if mark and text else 0 for text, _, mark in rows]
+    outer = [0 if mark else w for _, w, mark in rows]
+    elements: dict[int, int] = {}
+    for text, _, mark in rows:
+        elements[mark] = elements.get(mark, 0) + MARKED * len(text)
+    elements.pop(0, None)
+    runs = between(outer, threshold, width)
+    # The densest block wins; a marked element counts MARKED times.
+    if max(elements.values(), default=0) and max(elements.values()) >= max((sum(outer[a:b]) for a, b in runs), default=0):
+        kept = [text for a, b in between(inner, threshold, max(width, 1)) for (text, _, _), w in zip(rows[a:b], inner[a:b]) if w]
+        return "\n\n".join(kept)
+    kept = [text for a, b in runs for text, _, mark in rows[a:b] if text and not mark]
+    return "\n\n".join(kept or [text for (text, _, _), w in zip(rows, outer) if w])
 
 
 def extract_pages(pages: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

@@ -109,3 +109,11 @@ def test_names_do_not_lose_the_article(before, after):
 
 def test_text_called_by_a_name_of_its_own_is_all_of_a_page():
     assert he.extract("".join(f'<div class="widget"><p>{LONG} {i}</p></div>' for i in range(6))) == WANT
+
+
+@pytest.mark.parametrize("gap", ["", "<p></p>" * 9])
+def test_marked_teasers_do_not_displace_the_body(gap):
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Read this too.</p></article>" for i in range(4))
+    assert he.extract(f"<div>{BODY}</div>{gap}<div class='cards'>{teasers}</div>") == WANT
+    assert he.extract(f"<div class='cards'>{teasers}</div>{gap}<div>{BODY}</div>") == WANT
+    assert he.extract(f"<div><p>{LONG}</p></div>{gap}<article>{BODY}</article>") == WANT
