@@ -1,18 +1,26 @@
-"""A range coder for token ids, in numpy over many blocks at once.
+"""An adaptive context-mixing range coder for token ids, in numpy over many lanes at once.
 
-The ids are cut into blocks; each starts from a fresh model and is decoded and
-checked alone. All blocks of a call are coded in step, one lane each: position
-t of every block is handled by the same few array operations.
+The ids are cut into blocks of up to ``BLOCK``; each starts from a fresh model,
+carries a checksum and is decoded alone. A block is coded as parallel lanes
+(runs of equal length, each with its own digits) that share the block's model:
+step t codes id t of every lane, then the model learns all of them. So the
+lanes cost no statistics, and a step is a few dozen array operations however
+many lanes there are.
 
-An id is predicted by its two predecessors (order 2), by one (order 1) and by
-the adaptive frequencies of the block (order 0). A first symbol says which
-order is right; its probabilities mix the counts seen for the pair of
-confidences with those seen after the last outcomes. Only what order 1 and 2
-miss is spelled by order 0, as a high and a low byte. Order 0 takes up its
-counts every ``REFRESH`` positions.
+An id's probability is a mixture of distributions over all ids:
 
-A block is: 4 bytes magic, number of ids, number of 16-bit digits and crc32 of
-the ids as little-endian 32-bit integers (each little-endian 32 bits), digits
+* order 0: frequencies of the block so far, with a share for ids not seen yet,
+* order 1 and order 2: two ids that followed the last one or two ids, each.
+
+Weights are learned: what the contexts' slots are worth is counted for every
+pair of their states, as the ids come. The range coder works on the cumulative
+sums of the mixture itself, so an id that several orders predict gets the sum
+of its shares. Frequencies and weights are taken up at ever longer intervals,
+slots after each step.
+
+A block is: 4 bytes magic, number of ids, number of lanes, largest id and crc32
+of the ids as little-endian 32-bit integers (each little-endian 32 bits), the
+number of 16-bit digits of each lane (little-endian 16 bits), the lanes' digits
 (big-endian). Ids must be below 65,536.
 """
 
@@ -23,85 +31,157 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-MAGIC = b"CWT1"
-SLOTS = 2048
-CLASSES = 8
-REFRESH = 64
-_M32, _M48 = np.uint64(2**32 - 1), np.uint64(2**48 - 1)
-_LEAST = np.uint64(2**32)
+BLOCK = 1 << 21
+LANES = 2048
+STEPS = 64
+MAGIC = b"CWT2"
+HEAD = struct.Struct("<IIII")
+SLOTS = 1 << 18
+STATES = 64
+REFRESH = 48
+CEILING = 1 << 12
+# Their product stays below 2^31, so that shares are 32-bit integers.
+_TOTAL, _WEIGHT = 1 << 21, (1 << 10) - 1
+_MASS = np.uint64(_TOTAL * _WEIGHT)
 _S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
-_STEP = 24
-_LIMIT = 1 << 13
-_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.uint8)
-_KIND = np.array([2, 1, 0, 0])
+_THIN = np.uint64(1 << 48)
+
+
+def _slot_rules():
+    """For (outcome, state): the state after it, whether the id becomes the first guess, whether the second.
+
+    A state is the confidences (0 to 7) in a slot's two guesses; outcomes: the
+    first guess was right, the second, neither.
+    """
+    after, lead, second = (np.zeros(3 * STATES, np.uint8) for _ in range(3))
+    for state in range(STATES):
+        a, b = divmod(state, 8)
+        after[state] = min(a + 1, 7) * 8 + b
+        up = min(b + 1, 7)
+        after[STATES + state] = (up * 8 + max(a - 1, 0)) if up > a else (a * 8 + up)
+        lead[STATES + state] = up > a
+        if a == 0:
+            after[2 * STATES + state], lead[2 * STATES + state] = 8, True
+        elif b == 0:
+            after[2 * STATES + state], second[2 * STATES + state] = (max(a - 1, 1) if a > 2 else a) * 8 + 1, True
+        else:
+            after[2 * STATES + state] = (a - (a > 3)) * 8 + b - 1
+    return after, lead.astype(bool), second.astype(bool)
+
+
+_AFTER, _LEAD, _SECOND = _slot_rules()
+_AFTER = _AFTER.astype(np.int64) << 32
+_MIX = np.array([0x2545F491, 0x1E3779B1], np.int32)
+# By which guesses were right (1 and 4: order 1's, 2 and 8: order 2's): the most specific has the credit, none order 0.
+_CREDIT = np.array([1 if h & 2 else 3 if h & 8 else 0 if h & 1 else 2 if h & 4 else 4 for h in range(16)]) * STATES**2
+_OUTCOME = np.array([2, 0, 1, 0]) * STATES
 
 
 class _Model:
-    """Predictions of all lanes, driven alike by coder and decoder."""
-
-    def __init__(self, lanes: int):
-        n = lanes
-        self.base = np.arange(n, dtype=np.int64) * SLOTS
-        self.guess = [np.zeros(n * SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(n * SLOTS, np.uint8) for _ in range(2)]
-        self.by_trust = np.ones(n * 16 * 3, np.int32)
-        self.by_past = np.ones(n * 9 * 3, np.int32)
-        self.past = np.zeros(n, np.int64)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.one = np.zeros(n, np.int64)
-        self.two = np.zeros(n, np.int64)
-        self.high = np.ones((n, 256), np.int32)
-        self.low = np.ones((n, CLASSES, 256), np.int32)
+    """The mixture of a block, driven alike by coder and decoder."""
+
+    def __init__(self, lanes: int, ids: int):
+        self.ids = ids
+        # Slots of order 1, then of order 2: first guess, second guess (16 bits each), state.
+        self.slots = np.zeros((1 << 16) + SLOTS, np.int64)
+        self.seen = np.zeros(ids, np.int64)
+        # Before anything is known a confident guess is worth a little more than an unsure one.
+        a, b = np.divmod(np.arange(STATES), 8)
+        two, one = np.divmod(np.arange(STATES**2), STATES)
+        self.worth = np.stack([a[one], a[two], b[one], b[two], np.full(STATES**2, 4)])
+        self.one, self.two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.at = np.zeros((2, lanes), np.int64)
+        self.kept: list[np.ndarray] = []
+        self.kinds: list[np.ndarray] = []
+        self.waited, self.total = 0, 0
         self.refresh()
 
     def refresh(self) -> None:
-        n = len(self.lane)
-        high, low = np.zeros((n, 257), np.int32), np.zeros((n, CLASSES, 257), np.int32)
-        np.cumsum(self.high, axis=1, out=high[:, 1:])
-        np.cumsum(self.low, axis=2, out=low[:, :, 1:])
-        self.high_sum, self.low_sum = high.reshape(-1), low.reshape(-1)
+        """Take up what was learned since the last time."""
+        if self.kept:
+            new = np.concatenate(self.kept)
+            self.seen += np.bincount(new, minlength=self.ids)
+            self.total += len(new)
+            self.worth += np.bincount(np.concatenate(self.kinds), minlength=self.worth.size).reshape(self.worth.shape)
+            full = self.worth.sum(axis=0) > CEILING
+            self.worth[:, full] = (self.worth[:, full] + 1) >> 1
+            self.kept, self.kinds = [], []
+        # The share of ids not seen is that of new ones so far; every id gets at least 1.
+        distinct = int(np.count_nonzero(self.seen))
+        spread = (_TOTAL - self.ids) * distinct // max(1, self.total + distinct) if self.total else _TOTAL - self.ids
+        held = _TOTAL - self.ids - spread
+        sums = np.zeros(self.ids + 1, np.int64)
+        np.cumsum(self.seen, out=sums[1:])
+        at = np.arange(self.ids + 1, dtype=np.int64)
+        self.sums = (at + at * spread // self.ids + sums * held // max(1, self.total)).astype(np.int32)
+        share = self.worth[:4] * (_WEIGHT - 15) // self.worth.sum(axis=0)
+        self.share = np.concatenate([share * _TOTAL, _WEIGHT - share.sum(axis=0, keepdims=True)]).astype(np.int32)
+        self.waited = 0
 
     def narrow(self, n: int) -> None:
         """Go on with the first n lanes."""
-        for name in ("base", "past", "lane", "one", "two"):
-            setattr(self, name, getattr(self, name)[:n])
-        self.high, self.low = self.high[:n], self.low[:n]
+        self.one, self.two, self.at = self.one[:n], self.two[:n], np.ascontiguousarray(self.at[:, :n])
 
     def predict(self) -> None:
-        self.at = [
-            self.base + ((self.one * 40503 + self.two * 30011) >> 4) % SLOTS,
-            self.base + (self.one * 2654435 >> 5) % SLOTS,
-        ]
-        self.guesses = [g.take(i) for g, i in zip(self.guess, self.at)]
-        self.trusts = [t.take(i) for t, i in zip(self.trust, self.at)]
-        self.row_a = (self.lane * 16 + (self.trusts[0] * 4 + self.trusts[1])) * 3
-        self.row_b = (self.lane * 9 + self.past) * 3
-        a, b = self.by_trust, self.by_past
-        self.first = a.take(self.row_a) + b.take(self.row_b)
-        self.second = self.first + a.take(self.row_a + 1) + b.take(self.row_b + 1)
-        self.total = self.second + a.take(self.row_a + 2) + b.take(self.row_b + 2)
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        full = np.flatnonzero(self.total > _LIMIT)
-        for table, rows in ((self.by_trust, self.row_a), (self.by_past, self.row_b)):
-            table[rows + kind] += _STEP
-            for k in range(3 * bool(len(full))):
-                table[rows[full] + k] = (table[rows[full] + k] + 1) >> 1
-        for guess, trust, at, was, sure in zip(self.guess, self.trust, self.at, self.guesses, self.trusts):
-            right = was == ids
-            # Right: one more, at most 3. Wrong: one less; at 0 the new id takes the slot.
-            new = _TRUST.take(sure + 4 * right)
-            swap = np.flatnonzero(~right & (sure <= 1))
-            trust[at] = new
-            guess[at.take(swap)] = ids.take(swap)
-        self.past = (self.past * 3 + kind) % 9
+        """Guesses of the contexts and their weights: first ones of orders 1 and 2, second ones, and order 0's."""
+        self.at[0] = self.one
+        self.at[1] = (((self.one * _MIX[0] + self.two * _MIX[1]).view(np.uint32) >> np.uint32(14)) & np.uint32(SLOTS - 1)) + np.uint32(1 << 16)
+        slot = self.slots.take(self.at)
+        self.guess = np.concatenate([slot & 0xFFFF, slot >> 16 & 0xFFFF]).astype(np.int32)
+        self.before = slot >> 32
+        self.pair = self.before[1] * STATES + self.before[0]
+        share = self.share.take(self.pair, axis=1)
+        self.weight, self.rest = share[:4], share[4]
+
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ids in the mixture."""
+        apart = self.guess - ids
+        below = apart >> 31 & self.weight
+        self.hit = apart == 0
+        same = -self.hit.astype(np.int32) & self.weight
+        low = self.sums.take(ids)
+        start = self.rest * low + (below[0] + below[1] + below[2] + below[3])
+        width = self.rest * (self.sums.take(ids + 1) - low) + (same[0] + same[1] + same[2] + same[3])
+        return start, width
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose shares the values lie."""
+        low = self.rest * self.sums.take(self.guess)
+        high = self.rest * self.sums.take(self.guess + 1)
+        for k in range(4):
+            # All ones where guess k is smaller than a guess, or than a guess and one.
+            apart = self.guess[k] - self.guess
+            low += apart >> 31 & self.weight[k]
+            high += apart - 1 >> 31 & self.weight[k]
+        over = value >= high
+        inside = (value >= low) & ~over
+        ids = np.where(inside[0], self.guess[0], np.where(inside[1], self.guess[1], np.where(inside[2], self.guess[2], self.guess[3])))
+        other = np.flatnonzero(~(inside[0] | inside[1] | inside[2] | inside[3]))
+        passed = -over.astype(np.int32) & self.weight
+        left = (value - (passed[0] + passed[1] + passed[2] + passed[3])).take(other) // self.rest.take(other)
+        ids[other] = np.searchsorted(self.sums, left, side="right") - 1
+        return ids
+
+    def learn(self, ids: np.ndarray) -> None:
+        hit = self.hit.view(np.uint8)
+        self.kept.append(ids)
+        self.kinds.append(_CREDIT.take(hit[0] | hit[1] << 1 | hit[2] << 2 | hit[3] << 3) + self.pair)
+        rule = _OUTCOME.take(hit[:2] | hit[2:] << 1) + self.before
+        first, other, lead = self.guess[:2], self.guess[2:], _LEAD.take(rule)
+        other = np.where(lead, first, np.where(_SECOND.take(rule), ids, other))
+        first = np.where(lead, ids, first)
+        self.slots[self.at] = _AFTER.take(rule) | other.astype(np.int64) << 16 | first
         self.two, self.one = self.one, ids
+        self.waited += len(ids)
+        if self.waited * 8 > self.total or len(self.kept) >= REFRESH:
+            self.refresh()
+
 
-    def spelled(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        top = ids >> 8
-        self.high.reshape(-1)[lanes * 256 + top] += _STEP
-        self.low.reshape(-1)[(lanes * CLASSES + top % CLASSES) * 256 + (ids & 255)] += _STEP
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = max(1, min(LANES, n // STEPS))
+    steps = -(-n // lanes)
+    return -(-n // steps), steps
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -111,155 +191,109 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         return []
     if int(ids.max()) >= 1 << 16 or int(ids.min()) < 0:
         raise ValueError("ids must lie in 0 to 65,535")
-    lanes = -(-len(ids) // block)
-    last = len(ids) - (lanes - 1) * block
-    steps = min(block, len(ids))
-    padded = np.zeros(lanes * block, np.int64)
-    padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, block)[:, :steps].T)
-    model = _Model(lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _M48)
-    digits, used = np.zeros((lanes, 3 * steps + 8), np.int32), np.zeros(lanes, np.int64)
-
-    def put(at, start, width, total) -> None:
-        part = size[at] // total.astype(np.uint64)
-        bottom = low[at] + part * start.astype(np.uint64)
-        span = part * width.astype(np.uint64)
-        over = np.flatnonzero(bottom >> _S48)
-        if len(over):
-            where = over if isinstance(at, slice) else at[over]
-            digits[where, used[where] - 1] += 1
-            bottom &= _M48
-        thin = np.flatnonzero(span < _LEAST)
-        if len(thin):
-            where, value = thin if isinstance(at, slice) else at[thin], bottom[thin]
-            digits[where, used[where]] = value >> _S32
-            used[where] += 1
-            bottom[thin] = (value & _M32) << _S16
-            span[thin] <<= _S16
-        low[at], size[at] = bottom, span
+    return [_encode(ids[i : i + block]) for i in range(0, len(ids), block)]
+
 
+def _encode(ids: np.ndarray) -> bytes:
+    n, top = len(ids), int(ids.max())
+    lanes, steps = _shape(n)
+    last = n - (lanes - 1) * steps
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[:n] = ids
+    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    model = _Model(lanes, top + 1)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    digits, used = np.zeros((lanes, 3 * steps + 2), np.int32), np.zeros(lanes, np.int64)
     for t in range(steps):
-        if t == last and lanes > 1 and last < steps:
+        if t == last and last < steps:
             model.narrow(lanes - 1)
-        now = columns[t][: len(model.lane)]
-        whole = slice(0, len(now))
+        m = len(model.one)
+        now = columns[t, :m]
         model.predict()
-        kind = _KIND.take(2 * ((model.guesses[0] == now) & (model.trusts[0] > 0)) + ((model.guesses[1] == now) & (model.trusts[1] > 0)))
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.first, model.second))
-        stop = np.where(kind == 0, model.first, np.where(kind == 1, model.second, model.total))
-        put(whole, start, stop - start, model.total)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            word = now[rest]
-            top, bottom = word >> 8, word & 255
-            row = rest * 257
-            start = model.high_sum.take(row + top)
-            put(rest, start, model.high_sum.take(row + top + 1) - start, model.high_sum.take(row + 256))
-            row = (rest * CLASSES + top % CLASSES) * 257
-            start = model.low_sum.take(row + bottom)
-            put(rest, start, model.low_sum.take(row + bottom + 1) - start, model.low_sum.take(row + 256))
-            model.spelled(rest, word)
-        model.learn(now, kind)
-        if t % REFRESH == REFRESH - 1:
-            model.refresh()
-    every = np.arange(lanes)
-    for _ in range(3):
-        digits[every, used] = low >> _S32
-        low = (low & _M32) << _S16
-        used += 1
+        start, width = model.place(now)
+        part = size[:m] // _MASS
+        bottom = low[:m] + part * start.astype(np.uint64)
+        over = np.flatnonzero(bottom < low[:m])
+        if len(over):
+            digits[over, used[over] - 1] += 1
+        low[:m], size[:m] = bottom, part * width.astype(np.uint64)
+        thin = np.flatnonzero(size[:m] < _THIN)
+        while len(thin):
+            digits[thin, used[thin]] = low[thin] >> _S48
+            used[thin] += 1
+            low[thin] <<= _S16
+            size[thin] <<= _S16
+            thin = thin[size[thin] < _THIN]
+        model.learn(now)
+    # One more digit names a number inside the last range; what follows is read as zeros.
+    bottom = low + (_THIN - np.uint64(1))
+    over = np.flatnonzero(bottom < low)
+    digits[over, used[over] - 1] += 1
+    digits[np.arange(lanes), used] = bottom >> _S48
+    used += 1
     while True:
         over = digits >> 16
         if not over.any():
             break
         digits &= 0xFFFF
         digits[:, :-1] += over[:, 1:]
-    out = []
-    for i in range(lanes):
-        own = ids[i * block : (i + 1) * block]
-        head = MAGIC + struct.pack("<III", len(own), int(used[i]), zlib.crc32(own.astype("<u4").tobytes()))
-        out.append(head + digits[i, : used[i]].astype(">u2").tobytes())
-    return out
-
-
-def _find(sums: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The symbol in whose share of the row of sums the value lies."""
-    at = row.copy()
-    for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += (sums.take(at + bit) <= value) * bit
-    return at - row
+    body = digits[np.arange(digits.shape[1]) < used[:, None]].astype(">u2").tobytes()
+    crc = zlib.crc32(ids.astype("<u4").tobytes())
+    return MAGIC + HEAD.pack(n, lanes, top, crc) + used.astype("<u2").tobytes() + body
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The ids of concatenated blocks, each of which is checked. All but the last must be of one size."""
-    heads, at = [], 0
+    """The ids of concatenated blocks, each of which is checked."""
+    out, at, number = [np.zeros(0, np.uint32)], 0, 0
     while at < len(data):
         if data[at : at + 4] != MAGIC:
             raise ValueError(f"no block at byte {at}")
-        n, used, crc = struct.unpack_from("<III", data, at + 4)
-        heads.append((n, used, crc, at + 16))
-        at += 16 + 2 * used
-    if at != len(data):
-        raise ValueError("the last block is cut short")
-    if not heads:
-        return np.zeros(0, np.uint32)
-    lanes, steps, last = len(heads), heads[0][0], heads[-1][0]
-    if any(h[0] != steps for h in heads[:-1]) or last > steps:
-        raise ValueError("blocks differ in size")
-    digits = np.zeros((lanes, max(h[1] for h in heads) + 4), np.uint64)
-    for i, (_, used, _, start) in enumerate(heads):
-        digits[i, :used] = np.frombuffer(data, ">u2", used, start)
-    out = np.zeros((steps, lanes), np.int64)
-    model = _Model(lanes)
-    code = (digits[:, 0] << _S32) | (digits[:, 1] << _S16) | digits[:, 2]
-    size, used = np.full(lanes, _M48), np.full(lanes, 3)
-
-    def part(at, total):
-        step = size[at] // total.astype(np.uint64)
-        return step, np.minimum((code[at] // step).astype(np.int64), total - 1)
-
-    def take(at, step, start, width) -> None:
-        left = code[at] - step * start.astype(np.uint64)
-        span = step * width.astype(np.uint64)
-        thin = np.flatnonzero(span < _LEAST)
-        if len(thin):
-            where = thin if isinstance(at, slice) else at[thin]
-            left[thin] = (left[thin] << _S16) | digits[where, used[where]]
-            span[thin] <<= _S16
-            used[where] += 1
-        code[at], size[at] = left, span
+        if len(data) < at + 4 + HEAD.size:
+            raise ValueError("the last block is cut short")
+        n, lanes, top, crc = HEAD.unpack_from(data, at + 4)
+        at += 4 + HEAD.size
+        if n < 1 or top >= 1 << 16 or _shape(n)[0] != lanes or len(data) < at + 2 * lanes:
+            raise ValueError(f"block {number} has a broken head")
+        used = np.frombuffer(data, "<u2", lanes, at).astype(np.int64)
+        at += 2 * lanes
+        if len(data) < at + 2 * int(used.sum()):
+            raise ValueError("the last block is cut short")
+        ids = _decode(np.frombuffer(data, ">u2", int(used.sum()), at), used, n, top)
+        at += 2 * int(used.sum())
+        if zlib.crc32(ids.tobytes()) != crc:
+            raise ValueError(f"block {number} fails its checksum")
+        out.append(ids)
+        number += 1
+    return np.concatenate(out)
+
 
+def _decode(body: np.ndarray, lengths: np.ndarray, n: int, top: int) -> np.ndarray:
+    lanes, steps = _shape(n)
+    last = n - (lanes - 1) * steps
+    # A broken block may ask for more digits than there are: zeros stand behind each lane.
+    digits = np.zeros((lanes, max(int(lengths.max()), 3 * steps) + 8), np.uint64)
+    digits[np.arange(digits.shape[1]) < lengths[:, None]] = body
+    model = _Model(lanes, top + 1)
+    code = digits[:, 0] << _S48 | digits[:, 1] << _S32 | digits[:, 2] << _S16 | digits[:, 3]
+    size, used = np.full(lanes, 2**64 - 1, np.uint64), np.full(lanes, 4)
+    most = _MASS - np.uint64(1)
+    out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
-        if t == last and lanes > 1 and last < steps:
+        if t == last and last < steps:
             model.narrow(lanes - 1)
+        m = len(model.one)
         model.predict()
-        lane = slice(0, len(model.lane))
-        step, value = part(lane, model.total)
-        kind = (value >= model.first).astype(np.int64) + (value >= model.second)
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.first, model.second))
-        stop = np.where(kind == 0, model.first, np.where(kind == 1, model.second, model.total))
-        take(lane, step, start, stop - start)
-        now = np.where(kind == 0, model.guesses[0], model.guesses[1]).astype(np.int64)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            row = rest * 257
-            step, value = part(rest, model.high_sum.take(row + 256))
-            top = _find(model.high_sum, row, value)
-            start = model.high_sum.take(row + top)
-            take(rest, step, start, model.high_sum.take(row + top + 1) - start)
-            row = (rest * CLASSES + top % CLASSES) * 257
-            step, value = part(rest, model.low_sum.take(row + 256))
-            bottom = _find(model.low_sum, row, value)
-            start = model.low_sum.take(row + bottom)
-            take(rest, step, start, model.low_sum.take(row + bottom + 1) - start)
-            now[rest] = top << 8 | bottom
-            model.spelled(rest, now[rest])
-        model.learn(now, kind)
-        out[t, : len(now)] = now
-        if t % REFRESH == REFRESH - 1:
-            model.refresh()
-    ids = np.ascontiguousarray(out.T).reshape(-1)[: (lanes - 1) * steps + last].astype("<u4")
-    for i, (n, _, crc, _) in enumerate(heads):
-        if zlib.crc32(ids[i * steps : i * steps + n].tobytes()) != crc:
-            raise ValueError(f"block {i} fails its checksum")
-    return ids
+        part = size[:m] // _MASS
+        now = model.find(np.minimum(code[:m] // part, most).astype(np.int32))
+        start, width = model.place(now)
+        code[:m] -= part * start.astype(np.uint64)
+        size[:m] = part * width.astype(np.uint64)
+        thin = np.flatnonzero(size[:m] < _THIN)
+        while len(thin):
+            code[thin] = code[thin] << _S16 | digits[thin, used[thin]]
+            size[thin] <<= _S16
+            used[thin] += 1
+            thin = thin[size[thin] < _THIN]
+        model.learn(now)
+        out[t, :m] = now
+    return np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")

@@ -10,11 +10,14 @@ any store. Reading gives the ids back and verifies every block.
 
 Words between white space are encoded once and remembered (this tokenizer
 drops white space, which for it is Unicode's and not U+001C to U+001F, and never
-joins over it; texts with a special token's text are encoded whole). A position in the whole corpus is the sum of the segments
-before it, from a small table of segment sizes.
-
-Null and empty texts are just the end id; repeated rows are documents of their
-own; an empty table gives no rows; other columns are ignored.
+joins over it; texts with a special token's text are encoded whole). A position
+in the whole corpus is the sum of the segments before it, from a small table of
+segment sizes.
+
+Null and empty texts are just the end id; a very long text is one document of
+one segment, in as many blocks as it needs; repeated rows are documents of their
+own; an empty table gives no rows; other columns are ignored, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
 CACHE = 600_000
+#: Bytes of text for each task, however large the input.
+PARTITION = 64 << 20
 # Python counts these as white space, the tokenizer does not: it gives them ids.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
@@ -78,7 +83,8 @@ def segments(docs: DataFrame, tokenizer: str | None = None, segment: int = SEGME
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
     rows = rows.withColumn("part", F.spark_partition_id())
 

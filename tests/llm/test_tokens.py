@@ -29,6 +29,39 @@ def test_blocks_stand_alone_and_are_checked():
         token_codec.encode(np.array([1 << 16]))
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 64])
+def test_lanes(monkeypatch, lanes):
+    monkeypatch.setattr(token_codec, "LANES", lanes)
+    ids = np.random.default_rng(lanes).zipf(1.2, 5000) % 49408
+    assert (token_codec.decode(b"".join(token_codec.encode(ids, 3001))) == ids).all()
+
+
+def test_no_broken_byte_gives_other_ids():
+    ids = np.random.default_rng(4).integers(0, 900, 150)
+    data = token_codec.encode(ids)[0]
+    noticed = 0
+    for i in range(len(data)):
+        bad = bytearray(data)
+        bad[i] ^= 16
+        try:
+            assert (token_codec.decode(bytes(bad)) == ids).all()
+        except ValueError:
+            noticed += 1
+    # Only low bits of a lane's last digit say nothing.
+    assert noticed >= len(data) - 2
+
+
+def test_fewer_bits_than_order_0_and_zlib():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    ids = np.concatenate(tokens.encoder(tokens.default_tokenizer())(texts))
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    bits = 8 * sum(map(len, token_codec.encode(ids))) / len(ids)
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids) - 0.5
+    assert bits < -(share * np.log2(share)).sum() - 0.5
+
+
 def test_predictable_ids_cost_little():
     assert 8 * sum(map(len, token_codec.encode(np.tile(np.arange(50), 400)))) / 20000 < 2
 
