@@ -31,8 +31,8 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1 << 21
-LANES = 2048
+BLOCK = 1 << 22
+LANES = 4096
 STEPS = 64
 MAGIC = b"CWT2"
 HEAD = struct.Struct("<IIII")
@@ -43,7 +43,7 @@ CEILING = 1 << 12
 # Their product stays below 2^31, so that shares are 32-bit integers.
 _TOTAL, _WEIGHT = 1 << 21, (1 << 10) - 1
 _MASS = np.uint64(_TOTAL * _WEIGHT)
-_S16, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_S4, _S16, _S32, _S48 = np.uint64(4), np.uint64(16), np.uint64(32), np.uint64(48)
 _THIN = np.uint64(1 << 48)
 
 
@@ -146,20 +146,24 @@ class _Model:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose shares the values lie."""
-        low = self.rest * self.sums.take(self.guess)
-        high = self.rest * self.sums.take(self.guess + 1)
+        # The guesses in ascending order, each with its weight (below 2^31) behind it.
+        a, b, c, d = self.guess.astype(np.int64) << 32 | self.weight
+        a, b, c, d = np.minimum(a, b), np.maximum(a, b), np.minimum(c, d), np.maximum(c, d)
+        a, b, c, d = np.minimum(a, c), np.minimum(b, d), np.maximum(a, c), np.maximum(b, d)
+        ordered = np.stack([a, np.minimum(b, c), np.maximum(b, c), d])
+        guess, weight = (ordered >> 32).astype(np.int32), ordered.astype(np.int32)
+        ends = self.rest * self.sums.take(guess + 1)
+        upto, passed, next_guess = 0, 0, guess[0]
         for k in range(4):
-            # All ones where guess k is smaller than a guess, or than a guess and one.
-            apart = self.guess[k] - self.guess
-            low += apart >> 31 & self.weight[k]
-            high += apart - 1 >> 31 & self.weight[k]
-        over = value >= high
-        inside = (value >= low) & ~over
-        ids = np.where(inside[0], self.guess[0], np.where(inside[1], self.guess[1], np.where(inside[2], self.guess[2], self.guess[3])))
-        other = np.flatnonzero(~(inside[0] | inside[1] | inside[2] | inside[3]))
-        passed = -over.astype(np.int32) & self.weight
-        left = (value - (passed[0] + passed[1] + passed[2] + passed[3])).take(other) // self.rest.take(other)
-        ids[other] = np.searchsorted(self.sums, left, side="right") - 1
+            upto = upto + weight[k]
+            over = value >= ends[k] + upto
+            passed = passed + (weight[k] & -over.astype(np.int32))
+            next_guess = np.where(over, guess[k + 1] if k < 3 else self.ids, next_guess)
+        # What lies at or behind the start of the next guess is that guess; the rest is order 0's alone.
+        left = (value - passed) // self.rest
+        ids = next_guess
+        other = np.flatnonzero(left < self.sums.take(next_guess))
+        ids[other] = np.searchsorted(self.sums, left.take(other), side="right") - 1
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
@@ -203,7 +207,9 @@ def _encode(ids: np.ndarray) -> bytes:
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(lanes, top + 1)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    digits, used = np.zeros((lanes, 3 * steps + 2), np.int32), np.zeros(lanes, np.int64)
+    digits = np.zeros((lanes, 3 * steps + 2), np.int32)
+    flat, begin = digits.reshape(-1), np.arange(lanes) * digits.shape[1]
+    used = begin.copy()
     for t in range(steps):
         if t == last and last < steps:
             model.narrow(lanes - 1)
@@ -215,22 +221,26 @@ def _encode(ids: np.ndarray) -> bytes:
         bottom = low[:m] + part * start.astype(np.uint64)
         over = np.flatnonzero(bottom < low[:m])
         if len(over):
-            digits[over, used[over] - 1] += 1
-        low[:m], size[:m] = bottom, part * width.astype(np.uint64)
-        thin = np.flatnonzero(size[:m] < _THIN)
-        while len(thin):
-            digits[thin, used[thin]] = low[thin] >> _S48
-            used[thin] += 1
-            low[thin] <<= _S16
-            size[thin] <<= _S16
-            thin = thin[size[thin] < _THIN]
+            flat[used[over] - 1] += 1
+        span = part * width.astype(np.uint64)
+        thin = span < _THIN
+        while thin.any():
+            which = np.flatnonzero(thin)
+            at = used.take(which)
+            flat[at] = bottom.take(which) >> _S48
+            used[which] = at + 1
+            shift = thin.astype(np.uint64) << _S4
+            bottom <<= shift
+            span <<= shift
+            thin = span < _THIN
+        low[:m], size[:m] = bottom, span
         model.learn(now)
     # One more digit names a number inside the last range; what follows is read as zeros.
     bottom = low + (_THIN - np.uint64(1))
     over = np.flatnonzero(bottom < low)
-    digits[over, used[over] - 1] += 1
-    digits[np.arange(lanes), used] = bottom >> _S48
-    used += 1
+    flat[used[over] - 1] += 1
+    flat[used] = bottom >> _S48
+    used += 1 - begin
     while True:
         over = digits >> 16
         if not over.any():
@@ -275,7 +285,8 @@ def _decode(body: np.ndarray, lengths: np.ndarray, n: int, top: int) -> np.ndarr
     digits[np.arange(digits.shape[1]) < lengths[:, None]] = body
     model = _Model(lanes, top + 1)
     code = digits[:, 0] << _S48 | digits[:, 1] << _S32 | digits[:, 2] << _S16 | digits[:, 3]
-    size, used = np.full(lanes, 2**64 - 1, np.uint64), np.full(lanes, 4)
+    size, used = np.full(lanes, 2**64 - 1, np.uint64), np.arange(lanes) * digits.shape[1] + 4
+    flat = digits.reshape(-1)
     most = _MASS - np.uint64(1)
     out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
@@ -286,14 +297,18 @@ def _decode(body: np.ndarray, lengths: np.ndarray, n: int, top: int) -> np.ndarr
         part = size[:m] // _MASS
         now = model.find(np.minimum(code[:m] // part, most).astype(np.int32))
         start, width = model.place(now)
-        code[:m] -= part * start.astype(np.uint64)
-        size[:m] = part * width.astype(np.uint64)
-        thin = np.flatnonzero(size[:m] < _THIN)
-        while len(thin):
-            code[thin] = code[thin] << _S16 | digits[thin, used[thin]]
-            size[thin] <<= _S16
-            used[thin] += 1
-            thin = thin[size[thin] < _THIN]
+        left, span = code[:m] - part * start.astype(np.uint64), part * width.astype(np.uint64)
+        thin = span < _THIN
+        while thin.any():
+            which = np.flatnonzero(thin)
+            at = used.take(which)
+            used[which] = at + 1
+            shift = thin.astype(np.uint64) << _S4
+            left <<= shift
+            span <<= shift
+            left[which] |= flat.take(at)
+            thin = span < _THIN
+        code[:m], size[:m] = left, span
         model.learn(now)
         out[t, :m] = now
     return np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")

@@ -22,12 +22,15 @@ called.
 
 from __future__ import annotations
 
+import array
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,11 +42,15 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
 CACHE = 600_000
+BATCH = 4096
 #: Bytes of text for each task, however large the input.
 PARTITION = 64 << 20
 # Python counts these as white space, the tokenizer does not: it gives them ids.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+ODD = re.compile("[^\0-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
+LITTLE = sys.byteorder == "little"
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 
 
@@ -53,27 +60,78 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-_known: dict[str, dict[str, bytes]] = {}
+class _Known(dict):
+    """The ids of words without white space, as bytes; what is not known yet is encoded when it is asked for.
+
+    A word in lower case is a run of letters, as the tokenizer's pattern cuts it,
+    with marks behind it that are a run of their own: the letters go straight
+    to the tokenizer's merges. Any other word goes through the whole tokenizer.
+    """
+
+    # The bytes of UTF-8 as the byte-level vocabulary writes them: those that print stand for themselves, the rest from 256 on.
+    PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    WRITTEN = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
+    MARKS = ".,!?;:|"
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        letters = word.rstrip(self.MARKS)
+        if letters and len(letters) < len(word) and LETTERS.fullmatch(letters):
+            return self[letters] + self[word[len(letters) :]]
+        if LETTERS.fullmatch(word):
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.WRITTEN)
+            ids = [t.id for t in self.merges(written)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = self[word] = array.array("H", ids).tobytes() if LITTLE else np.array(ids, "<u2").tobytes()
+        return found
+
+
+_known: dict[str, _Known] = {}
 
 
 def encoder(path: str):
-    """A function from texts to arrays of ids. What words encode to is remembered for the life of the process."""
+    """A function from texts to arrays of ids. What words encode to is remembered for the life of the process.
+
+    The words of a batch of plain texts are found and told apart by Arrow; each
+    different word is looked up once.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known = _known.setdefault(path, {})
-    end = np.array([END], "<u2").tobytes()
+    if path not in _known:
+        _known[path] = _Known(Tokenizer.from_file(path))
+    known = _known[path]
+    special = [t.content for t in known.tokenizer.get_added_tokens_decoder().values()]
+    end = np.array([END], "<u2")
+
+    def odd(text: str) -> np.ndarray:
+        words = [text] if any(s in text for s in special) else SPACE.split(text)
+        return np.frombuffer(b"".join([*map(known.__getitem__, words)]), "<u2")
+
+    def plain(texts: list[str]) -> list[np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        ends = words.offsets.to_numpy()
+        found = words.flatten().dictionary_encode()
+        which = found.indices.to_numpy()
+        own = [*map(known.__getitem__, found.dictionary.to_numpy(zero_copy_only=False))]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
+        ids = np.frombuffer(b"".join(own), "<u2")
+        lengths = sizes.take(which)
+        after = np.cumsum(lengths)
+        # Where each id of the words in order stands among those of the different words.
+        at = np.repeat((np.cumsum(sizes) - sizes).take(which) - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)
+        return np.split(ids.take(at), np.r_[0, after].take(ends[1:-1] - ends[0]))
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        split = [[t] if any(s in t for s in special) else SPACE.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for words in split for w in words}.difference(known))
-        if new:
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u2").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u2") for words in split]
+        # Arrow lowers and splits these characters as the tokenizer does.
+        simple = [not (ODD.search(t) or ("<|" in t and any(s in t for s in special))) for t in texts]
+        some = iter(plain([t for t, x in zip(texts, simple) if x]) if any(simple) else [])
+        return [np.concatenate([next(some) if x else odd(t), end]) for t, x in zip(texts, simple)]
 
     return run
 
@@ -104,8 +162,8 @@ def segments(docs: DataFrame, tokenizer: str | None = None, segment: int = SEGME
 
         part = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH):
+                piece = batch.slice(at, BATCH)
                 part = piece.column(2)[0].as_py()
                 for doc, own in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
                     docs_in.append(doc)
