@@ -18,10 +18,12 @@ sums of the mixture itself, so an id that several orders predict gets the sum
 of its shares. Frequencies and weights are taken up at ever longer intervals,
 slots after each step.
 
-A block is: 4 bytes magic, number of ids, number of lanes, largest id and crc32
-of the ids as little-endian 32-bit integers (each little-endian 32 bits), the
-number of 16-bit digits of each lane (little-endian 16 bits), the lanes' digits
-(big-endian). Ids must be below 65,536.
+A block is: 4 bytes magic, number of ids, number of lanes, bytes of the alphabet
+and crc32 of the ids as little-endian 32-bit integers (each little-endian 32
+bits), the alphabet, the number of 16-bit digits of each lane (little-endian 16
+bits), the lanes' digits (big-endian). The alphabet is the ascending list of the
+block's different ids as steps, 255 meaning 255 and on; the model numbers ids by
+their place in it. Ids must be below 65,536.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SLOTS = 1 << 18
 STATES = 64
 REFRESH = 48
 CEILING = 1 << 12
+COARSE = 7
 # Their product stays below 2^31, so that shares are 32-bit integers.
 _TOTAL, _WEIGHT = 1 << 21, (1 << 10) - 1
 _MASS = np.uint64(_TOTAL * _WEIGHT)
@@ -114,6 +117,9 @@ class _Model:
         np.cumsum(self.seen, out=sums[1:])
         at = np.arange(self.ids + 1, dtype=np.int64)
         self.sums = (at + at * spread // self.ids + sums * held // max(1, self.total)).astype(np.int32)
+        # For every COARSE-th place the id that holds it: where the search for a place begins.
+        first = self.sums[:-1] + ((1 << COARSE) - 1) >> COARSE
+        self.coarse = np.cumsum(np.bincount(first, minlength=(_TOTAL >> COARSE) + 1)) - 1
         share = self.worth[:4] * (_WEIGHT - 15) // self.worth.sum(axis=0)
         self.share = np.concatenate([share * _TOTAL, _WEIGHT - share.sum(axis=0, keepdims=True)]).astype(np.int32)
         self.waited = 0
@@ -153,17 +159,22 @@ class _Model:
         ordered = np.stack([a, np.minimum(b, c), np.maximum(b, c), d])
         guess, weight = (ordered >> 32).astype(np.int32), ordered.astype(np.int32)
         ends = self.rest * self.sums.take(guess + 1)
-        upto, passed, next_guess = 0, 0, guess[0]
-        for k in range(4):
-            upto = upto + weight[k]
-            over = value >= ends[k] + upto
-            passed = passed + (weight[k] & -over.astype(np.int32))
-            next_guess = np.where(over, guess[k + 1] if k < 3 else self.ids, next_guess)
+        ends += np.cumsum(weight, axis=0, dtype=np.int32)
+        over = value >= ends
+        passed = weight & -over.astype(np.int32)
+        passed = passed[0] + passed[1] + (passed[2] + passed[3])
+        next_guess = np.where(over[3], self.ids, np.where(over[2], guess[3], np.where(over[1], guess[2], np.where(over[0], guess[1], guess[0]))))
         # What lies at or behind the start of the next guess is that guess; the rest is order 0's alone.
         left = (value - passed) // self.rest
         ids = next_guess
         other = np.flatnonzero(left < self.sums.take(next_guess))
-        ids[other] = np.searchsorted(self.sums, left.take(other), side="right") - 1
+        left = left.take(other)
+        found = self.coarse.take(left >> COARSE)
+        for _ in range(3):
+            found += self.sums.take(found + 1) <= left
+        far = np.flatnonzero(self.sums.take(found + 1) <= left)
+        found[far] = np.searchsorted(self.sums, left.take(far), side="right") - 1
+        ids[other] = found
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
@@ -199,13 +210,15 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 
 
 def _encode(ids: np.ndarray) -> bytes:
-    n, top = len(ids), int(ids.max())
+    n, alphabet = len(ids), np.flatnonzero(np.bincount(ids))
     lanes, steps = _shape(n)
+    number = np.zeros(1 << 16, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
     last = n - (lanes - 1) * steps
     padded = np.zeros(lanes * steps, np.int32)
-    padded[:n] = ids
+    padded[:n] = number[ids]
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model = _Model(lanes, top + 1)
+    model = _Model(lanes, len(alphabet))
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     digits = np.zeros((lanes, 3 * steps + 2), np.int32)
     flat, begin = digits.reshape(-1), np.arange(lanes) * digits.shape[1]
@@ -249,7 +262,10 @@ def _encode(ids: np.ndarray) -> bytes:
         digits[:, :-1] += over[:, 1:]
     body = digits[np.arange(digits.shape[1]) < used[:, None]].astype(">u2").tobytes()
     crc = zlib.crc32(ids.astype("<u4").tobytes())
-    return MAGIC + HEAD.pack(n, lanes, top, crc) + used.astype("<u2").tobytes() + body
+    far, near = np.divmod(np.diff(alphabet, prepend=0), 255)
+    listed = np.full(int(far.sum()) + len(alphabet), 255, np.uint8)
+    listed[np.cumsum(far + 1) - 1] = near
+    return MAGIC + HEAD.pack(n, lanes, len(listed), crc) + listed.tobytes() + used.astype("<u2").tobytes() + body
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -260,15 +276,20 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError(f"no block at byte {at}")
         if len(data) < at + 4 + HEAD.size:
             raise ValueError("the last block is cut short")
-        n, lanes, top, crc = HEAD.unpack_from(data, at + 4)
+        n, lanes, listed, crc = HEAD.unpack_from(data, at + 4)
         at += 4 + HEAD.size
-        if n < 1 or top >= 1 << 16 or _shape(n)[0] != lanes or len(data) < at + 2 * lanes:
+        if n < 1 or _shape(n)[0] != lanes or len(data) < at + listed + 2 * lanes:
             raise ValueError(f"block {number} has a broken head")
+        steps = np.frombuffer(data, np.uint8, listed, at)
+        alphabet = np.cumsum(steps, dtype=np.int64)[steps < 255]
+        at += listed
+        if not 0 < len(alphabet) <= n or alphabet[-1] >= 1 << 16:
+            raise ValueError(f"block {number} has a broken alphabet")
         used = np.frombuffer(data, "<u2", lanes, at).astype(np.int64)
         at += 2 * lanes
         if len(data) < at + 2 * int(used.sum()):
             raise ValueError("the last block is cut short")
-        ids = _decode(np.frombuffer(data, ">u2", int(used.sum()), at), used, n, top)
+        ids = alphabet[_decode(np.frombuffer(data, ">u2", int(used.sum()), at), used, n, len(alphabet))].astype("<u4")
         at += 2 * int(used.sum())
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError(f"block {number} fails its checksum")
@@ -277,13 +298,13 @@ def decode(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _decode(body: np.ndarray, lengths: np.ndarray, n: int, top: int) -> np.ndarray:
+def _decode(body: np.ndarray, lengths: np.ndarray, n: int, ids: int) -> np.ndarray:
     lanes, steps = _shape(n)
     last = n - (lanes - 1) * steps
     # A broken block may ask for more digits than there are: zeros stand behind each lane.
     digits = np.zeros((lanes, max(int(lengths.max()), 3 * steps) + 8), np.uint64)
     digits[np.arange(digits.shape[1]) < lengths[:, None]] = body
-    model = _Model(lanes, top + 1)
+    model = _Model(lanes, ids)
     code = digits[:, 0] << _S48 | digits[:, 1] << _S32 | digits[:, 2] << _S16 | digits[:, 3]
     size, used = np.full(lanes, 2**64 - 1, np.uint64), np.arange(lanes) * digits.shape[1] + 4
     flat = digits.reshape(-1)
@@ -311,4 +332,4 @@ def _decode(body: np.ndarray, lengths: np.ndarray, n: int, top: int) -> np.ndarr
         code[:m], size[:m] = left, span
         model.learn(now)
         out[t, :m] = now
-    return np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")
+    return np.ascontiguousarray(out.T).reshape(-1)[:n]

@@ -41,7 +41,7 @@ from .common import shared_path
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
-CACHE = 600_000
+CACHE = 1_000_000
 BATCH = 4096
 #: Bytes of text for each task, however large the input.
 PARTITION = 64 << 20
@@ -71,7 +71,7 @@ class _Known(dict):
     # The bytes of UTF-8 as the byte-level vocabulary writes them: those that print stand for themselves, the rest from 256 on.
     PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
     WRITTEN = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
-    MARKS = ".,!?;:|"
+    MARKS = ".,!?;:|#$%&*+-/<=>@\\^_`~()[]{}\""
 
     def __init__(self, tokenizer):
         super().__init__()
