@@ -1,34 +1,48 @@
-"""Operator 5: toxicity by compression distance with two zstandard dictionaries.
-
-Training counts, over distinct labelled texts, the documents of each class
-that hold a string: a word, or the first 4 to 11 bytes of one. Strings that
-mostly occur in toxic texts mark toxic text; the most frequent others are
-ordinary. Every word of a text is rewritten as the fixed-length random code of
-its most telling known string, so that a shared string is worth more than
-zstd's cost of a match. The ordinary dictionary holds the codes of ordinary
-strings, the toxic one those of toxic strings ahead of the same content:
-distances to shared content are equal, so the lengths to which a window of
-words compresses under the two differ only by what is toxic in it. Savings
-over all windows (their sum, share, maximum) are calibrated to a probability by
-logistic regression on labelled documents that no dictionary was made from.
+"""Operator 5: toxicity by compression distance with zstandard dictionaries of two classes.
+
+The words of labelled toxic and ordinary texts are dealt at random into bags of
+equal numbers; each bag is the content of one zstandard dictionary, so a
+dictionary holds what is frequent in its class and by chance some of the rest.
+A window is a word (or ``WINDOW`` bytes of a longer one), compressed once with
+each dictionary of either class. Its distance is the mean length under the
+ordinary dictionaries less that under the toxic ones: strings that are more
+frequent in toxic text cost less there, and what has been met by chance evens
+out over the pairs. Nothing is counted, picked or listed by hand.
+
+A match costs zstandard about as much as three or four bytes, too coarse for a
+word. So a byte is written as ``WIDE`` random bytes that depend on it and on its
+place in the window: a string counts ``WIDE``-fold, and matches only where it
+stands at the same place of a word.
+
+A window goes through the pairs by ``STAGES`` and is left, at distance 0, when its
+mean does not pass ``SCREEN``. A text is described by the distances of its windows:
+their sum, share and largest values, and how many exceed each of ``LIMITS``.
+Logistic regression calibrates that to a score, whose threshold is where
+precision and recall on the calibration texts balance best. It learns from documents
+whose own half of the labelled texts was not in the dictionaries used; the
+final distances use the dictionaries of both halves.
 
 At most about ``sample`` labelled rows are used (chosen by a hash of doc_id,
-all of them if there are fewer); that bounds the dictionaries and what reaches
-the driver. Scoring reads every whole text, and nothing but the text.
+all of them if there are fewer) and about ``POOL`` windows of each class and
+half; that bounds the dictionaries and what reaches the driver. Scoring reads
+every whole text, however long, and nothing but the text.
 
-Null and empty texts have a score like any other (no window, nothing saved).
+Null and empty texts have a score like any other (no window, no distance).
 Labels other than 0 and 1 teach nothing; repeated labels count once for each;
-repeated documents each get a row; other columns are ignored. Without labels of
-both classes the score is the share of label 1 (0 without labels).
+repeated documents each get a row; an empty table gives no rows; other columns
+are ignored, whatever they are called. Without labels of both classes the score
+is the share of label 1 (0 without labels).
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,74 +51,87 @@ from .common import held_out, pin, text_key
 
 THRESHOLD = 0.5
 SAMPLE = 8000
-WINDOW_WORDS = 48
-ORDINARY = 4000
-TOXIC = 8000
-PRECISION = 0.6
-STRONG = 0.85
-SUPPORT = 0.006
-SHORTEST, LONGEST = 4, 11
-EDGE = b".,!?|#$%&*;:\"()"
-CACHE = 200_000
+WINDOW = 32
+WIDE = 4
+PAIRS = 32
+BAG = 2600
+POOL = 50_000
+STAGES, SCREEN = (4, 12), 1.0
+LIMITS = (3.0, 5.0)
+FEATURES = 6 + 2 * len(LIMITS)
+CACHE = 800_000
+_EDGE = re.compile(rb"[\s.,!?|#$%&*;:\"()]+")
+_CODE = np.random.default_rng(5).integers(0, 256, (WINDOW, 256, WIDE), dtype=np.uint8)
+_PLACE = np.arange(WINDOW)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def windows(text: str | None) -> list[bytes]:
+    """The words of a text in lower case, longer ones in pieces."""
+    words = _EDGE.split((text or "").lower().encode("utf-8", "surrogatepass"))
+    return [w if len(w) <= WINDOW else w[i : i + WINDOW] for w in words if w for i in range(0, len(w), WINDOW)]
 
 
-def _strings(word: bytes) -> list[bytes]:
-    """The strings of a word, most specific first; a whole word ends with a space."""
-    word = word.strip(EDGE)
-    return [word + b" ", *(word[:k] for k in range(min(len(word), LONGEST), SHORTEST - 1, -1))]
+def _wide(window: bytes) -> bytes:
+    return _CODE[_PLACE[: len(window)], np.frombuffer(window, np.uint8)].tobytes()
+
+
+def _compressor(bag: bytes):
+    how = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=4, target_length=0, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_dict_id=False
+    )
+    content = b"".join(map(_wide, bag.split())) or b"\0" * 8
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress
+
+
+# Dictionaries and distances of the last model used, for the life of a process.
+_ready: dict[str, tuple[list, dict[int | None, dict[bytes, float]]]] = {}
 
 
 class Model:
-    def __init__(self, toxic: dict[bytes, float], ordinary: list[bytes], constant: float | None = None):
-        self.toxic, self.ordinary, self.constant = toxic, set(ordinary), constant
+    """``bags``: for each half the bags of ordinary and of toxic windows, separated by spaces."""
+
+    def __init__(self, bags: list[tuple[list[bytes], list[bytes]]], constant: float | None = None):
+        self.bags, self.constant, self.name = bags, constant, uuid.uuid4().hex
         self.center = self.scale = self.weights = None
 
-    def _code(self, string: bytes) -> bytes:
-        return hashlib.blake2b(string, digest_size=16 if self.toxic.get(string, 0) >= STRONG else 8).digest()
-
-    def _compressors(self):
-        ordinary = b"".join(self._code(s) for s in sorted(self.ordinary))
-        toxic = b"".join(self._code(s) for s in sorted(self.toxic, key=lambda s: (self.toxic[s], s)))
-        how = zstandard.ZstdCompressionParameters(
-            window_log=19, hash_log=15, chain_log=15, search_log=2, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False
-        )
-        for content in (ordinary, toxic + ordinary):
-            yield zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
-
-    def measure(self):
-        """A function from a text to its features."""
-        plain, tuned = (c.compress for c in self._compressors())
-        codes: dict[bytes, bytes] = {}
-
-        def code(word: bytes) -> bytes:
-            found = codes.get(word)
+    def _prepared(self):
+        if self.name not in _ready:
+            _ready.clear()
+            pairs = [[(_compressor(a), _compressor(b)) for a, b in zip(*half)] for half in self.bags]
+            _ready[self.name] = (pairs, {})
+        return _ready[self.name]
+
+    def measure(self, half: int | None = None):
+        """A function from a text to its features, with the dictionaries of one half or of both."""
+        pairs, known = self._prepared()
+        pairs = [p for both in zip(*pairs) for p in both] if half is None else pairs[half]
+        distances = known.setdefault(half, {})
+
+        def distance(window: bytes) -> float:
+            found = distances.get(window)
             if found is None:
-                strings = _strings(word)
-                hit = max((s for s in strings if s in self.toxic), key=self.toxic.get, default=None) or next((s for s in strings if s in self.ordinary), strings[0])
-                if len(codes) >= CACHE:
-                    codes.clear()
-                found = codes[word] = self._code(hit)
+                wide, total, done = _wide(window), 0, 0
+                for upto in (*STAGES, len(pairs)):
+                    total += sum(len(a(wide)) - len(b(wide)) for a, b in pairs[done:upto])
+                    done = upto
+                    if total <= SCREEN * done:
+                        break
+                found = total / done if total > SCREEN * done else 0.0
+                if len(distances) >= CACHE:
+                    distances.clear()
+                distances[window] = found
             return found
 
         def run(text: str | None) -> list[float]:
-            words = _words(text)
-            coded = [code(w) for w in words]
-            saved = []
-            for at in range(0, len(coded), WINDOW_WORDS):
-                window = b"".join(coded[at : at + WINDOW_WORDS])
-                saved.append(max(0, len(plain(window)) - len(tuned(window))))
-            total = sum(saved)
-            return [
-                float(np.log1p(total)),
-                float(np.log1p(100 * total / (len(words) + 5))),
-                float(np.log1p(max(saved, default=0))),
-                float(np.log1p(len(words))),
-                float(np.log1p(sum(s >= 4 for s in saved) / max(1, len(saved)))),
-            ]
+            all_windows = windows(text)
+            n = len(all_windows)
+            far = sorted((d for d in map(distance, all_windows) if d), reverse=True)
+            total = sum(far)
+            out = [np.log1p(total), np.log1p(100 * total / (n + 5)), *(far + [0.0, 0.0, 0.0])[:3], np.log1p(n)]
+            for limit in LIMITS:
+                more = sum(d > limit for d in far)
+                out += [np.log1p(more), np.log1p(100 * more / (n + 5))]
+            return [float(x) for x in out]
 
         return run
 
@@ -118,6 +145,12 @@ class Model:
             w -= step
             if np.abs(step).max() < 1e-9:
                 break
+        # 0.5 is where precision and recall on these documents balance best.
+        z = a @ w
+        order = np.argsort(-z, kind="stable")
+        right = np.cumsum(y[order])
+        best = int(np.argmax(2 * right / (np.arange(1, len(z) + 1) + y.sum())))
+        w[0] -= (z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2
         self.weights = w
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -126,16 +159,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x - self.center) / self.scale @ self.weights[1:], -50, 50)))
 
 
-def _measured(rows: DataFrame, model: Model) -> DataFrame:
-    """Features of (id, text) rows as (id, x)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = model.measure()
-        for batch in batches:
-            x = [measure(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
-
-    return rows.mapInArrow(run, "id long, x array<double>")
+def _bags(pools: list[list[bytes]], seed: int) -> tuple[list[bytes], list[bytes]]:
+    """PAIRS bags of windows from each pool, all of one size, dealt round after round."""
+    size = max(1, min(BAG, *(len(p) // 2 for p in pools)))
+    out = []
+    for k, pool in enumerate(pools):
+        order = np.random.default_rng([seed, k])
+        dealt = np.concatenate([order.permutation(len(pool)) for _ in range(-(-PAIRS * size // len(pool)))])
+        out.append([b" ".join(pool[i] for i in dealt[j * size : (j + 1) * size]) for j in range(PAIRS)])
+    return out[0], out[1]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -145,43 +177,67 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         known = known.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     # At most about `sample` rows of two numbers: small enough to broadcast at any size of the input.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = pin(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(3))), "labelled")
+    # Equal texts share a half, so that none is measured by a dictionary that holds it.
+    rows = rows.withColumn("tkey", text_key()).withColumn("half", F.pmod(F.xxhash64(F.lit(6), "tkey"), F.lit(2)).cast("int"))
+    rows = pin(rows.select("tkey", "half", "label", "text"), "labelled")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        return Model({}, [], float(next(iter(sizes), 0)))
+        return Model([], float(next(iter(sizes), 0)))
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {s for w in set(_words(text.as_py())) for s in _strings(w) if len(s) >= SHORTEST}
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([y] * len(own), pa.int32())], ["s", "y"])
-
-    base = rows.filter("part > 0").withColumn("tkey", text_key()).groupBy("tkey").agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    base = base.select("label", "text")
-    counts = pin(base.mapInArrow(strings, "s binary, y int").groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter("a + b >= 3"), "strings")
-    n_toxic = base.filter("label = 1").count()
-    sure = F.col("a") / (F.col("a") + F.col("b") + 1)
-    marks = counts.filter((F.col("a") >= max(3.0, SUPPORT * n_toxic)) & (sure >= PRECISION)).orderBy(F.col("a").desc(), "s").limit(TOXIC)
-    toxic = {bytes(r.s): r.a / (r.a + r.b + 1) for r in marks.collect()}
-    ordinary = [bytes(r.s) for r in counts.orderBy(F.col("b").desc(), "s").limit(ORDINARY).collect()]
-    model = Model(toxic, [s for s in ordinary if s not in toxic])
-    apart = rows.filter("part = 0")
-    held = _measured(apart.select(F.col("label").cast("long").alias("id"), "text"), model).collect()  # a third of the sample, five numbers each
-    y = np.array([r.id for r in held], float)
-    if len(set(y)) < 2:
-        held = _measured(rows.select(F.col("label").cast("long").alias("id"), "text"), model).collect()
-        y = np.array([r.id for r in held], float)
-    model.calibrate(np.array([r.x for r in held]), y)
+            for half, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = list(dict.fromkeys(windows(text.as_py())))
+                order = pa.array(_spread(own), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([half] * len(own), pa.int32()), pa.array([y] * len(own), pa.int32()), pa.array(own, pa.binary()), order], ["half", "y", "w", "at"])
+
+    base = rows.groupBy("tkey").agg(F.first("half").alias("half"), F.max("label").alias("label"), F.first("text").alias("text"))
+    pool = pin(base.select("half", "label", "text").mapInArrow(cut, "half int, y int, w binary, at double"), "windows")
+    counts = {(r.half, r.y): r["count"] for r in pool.groupBy("half", "y").count().collect()}
+    share = F.lit(0.0)
+    for (half, y), count in counts.items():
+        share = F.when((F.col("half") == half) & (F.col("y") == y), min(1.0, POOL / count)).otherwise(share)
+    taken: dict[tuple[int, int], list[bytes]] = {}
+    for r in pool.filter(F.col("at") < share).collect():  # about POOL windows of each half and class at most
+        taken.setdefault((r.half, r.y), []).append(bytes(r.w))
+    pools = [[sorted(taken.get((h, y), [])) for y in (0, 1)] for h in (0, 1)]
+    # With too few texts for two halves both have all of them.
+    if any(not p for half in pools for p in half):
+        pools = [[sorted(pools[0][y] + pools[1][y]) for y in (0, 1)]] * 2
+    if any(not p for p in pools[0]):
+        return Model([], sizes[1] / sum(sizes.values()))
+    model = Model([_bags(p, seed) for seed, p in enumerate(pools)])
+    held = _measured(rows.select("half", "label", "text"), model).collect()  # about `sample` rows of FEATURES numbers at most
+    held.sort(key=lambda r: (r.y, r.x))
+    model.calibrate(np.array([r.x for r in held]), np.array([r.y for r in held], float))
     return model
 
 
+def _spread(own: list[bytes]) -> np.ndarray:
+    """A number from 0 to 1 for each window, the same in every run, that depends on the text as well."""
+    seed = xxhash.xxh3_64_intdigest(b" ".join(own[:50]))
+    return np.array([xxhash.xxh3_64_intdigest(w, seed=seed) for w in own], float) / 2.0**64
+
+
+def _measured(rows: DataFrame, model: Model) -> DataFrame:
+    """(y, x) of labelled texts, each measured with the dictionaries of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = [model.measure(1), model.measure(0)]
+        for batch in batches:
+            x = [measure[h](t.as_py()) for h, t in zip(batch.column(0).to_pylist(), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+    return rows.mapInArrow(run, "y int, x array<double>")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the probability of label 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = model.measure()
+        measure = model.measure() if model.constant is None else lambda _: [0.0] * FEATURES
         for batch in batches:
-            x = np.array([measure(t.as_py()) for t in batch.column(1)]).reshape(-1, 5)
+            x = np.array([measure(t.as_py()) for t in batch.column(1)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

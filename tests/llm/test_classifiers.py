@@ -53,7 +53,23 @@ def test_nothing_is_learned_from_held_out_rows(labelled):
     stats = quality.statistics(docs)
     a, b = (quality.learn(stats, x) for x in (labels, flipped))
     np.testing.assert_allclose(a.mean, b.mean)
-    assert toxicity.learn(docs, labels).toxic == toxicity.learn(docs, flipped).toxic
+    a, b = (toxicity.learn(docs, x) for x in (labels, flipped))
+    assert a.bags == b.bags and (a.weights == b.weights).all()
+
+
+def test_toxicity_query_on_given_labels(spark):
+    """Held-out documents of the given tables: few are called toxic wrongly, and toxic ones rank above the others."""
+    from candlewick.llm.queries import queries
+
+    path = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries()["op5_toxicity"](spark, path).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    test = [rows[i] for i in labels if is_held_out(i)]
+    assert all(r.held_out == is_held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    toxic, ordinary = ([r for r in test if labels[r.doc_id] == y] for y in (1, 0))
+    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
+    assert sum(r.predicted for r in ordinary) <= 0.02 * len(ordinary)
+    assert np.mean([[a.score > b.score for b in ordinary] for a in toxic]) > 0.9
 
 
 def test_odd_texts_and_tables(spark, make_docs, odd_texts, labelled):
