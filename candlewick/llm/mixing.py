@@ -2,16 +2,23 @@
 
 Each source's documents are put in an order given by a seeded hash. A copy of
 a document gets a virtual finish time: the source's tokens up to and including
-it, over the source's target. All copies, one for each epoch, are then ordered
-by that time, and the queue is cut where the total budget is spent.
+it, over the source's target. All copies, one for each epoch, form a queue that
+is range-sorted by the middle of their virtual service (finish less half of
+their own share), and cut where the total budget is spent. By the middle each
+source is cut at the document whose end is nearest to its target, not always
+before it.
 
 Sizes are running sums of integers, so reruns agree exactly. A source may hold
 any share of the rows: its running sums are made cell by cell (a cell is a
-range of the order hash) with a table of cell totals, never in one task.
+range of the order hash), those of the queue partition by partition of the
+range sort, each with a table of totals; nothing is put in order in one task.
 
 Null texts have size 0 and are never taken; a null source is a source of its
-own, last in the order of sources; repeated rows are separate documents; an
-empty table gives no rows. Columns other than doc_id, text and source are ignored.
+own, last in the order of sources; very long texts are documents like others,
+a source is then off its target by at most half of one; repeated rows are
+separate documents; an empty table gives no rows. Columns other than doc_id,
+text and source are ignored, whatever they are called; ``mix_documents`` keeps
+them.
 """
 
 from __future__ import annotations
@@ -25,14 +32,17 @@ from .common import pin, text_key
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 20_000
-EXACT_ROWS = 100_000
-STEPS = 1024
 
 
 def size_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _source() -> Column:
+    """A source's name, apart from null's."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, epochs: int = 2) -> DataFrame:
     """(src, source_size) and the source's target: weights share ``budget`` times all sizes, no target above ``epochs`` times its source.
 
@@ -57,50 +67,24 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, epo
 
 
 def _cut(queue: DataFrame, budget: int) -> tuple[float, int]:
-    """The last (time, order) whose running total is within the budget.
-
-    Totals over ever finer ranges of time find the range where the budget ends;
-    only that range's rows are put in order one by one.
-    """
-    low, high, spent = 0.0, 1.0 + 1e-9, 0
-    top = queue.agg(F.max("vf").alias("m")).first().m
-    if top is None:
-        return 0.0, 0
-    high = max(high, float(top) * (1 + 1e-9))
-    inside = queue
-    while high - low > 1e-12:
-        width = (high - low) / STEPS
-        steps = (
-            inside.groupBy(F.least(F.floor((F.col("vf") - low) / width), F.lit(STEPS - 1)).alias("step"))
-            .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-            .orderBy("step")
-            .collect()  # at most STEPS rows of totals
-        )
-        for row in steps:
-            if spent + row["size"] > budget:
-                break
-            spent += row["size"]
-        else:
-            return float("inf"), 0
-        low, high, step = low + row.step * width, low + (row.step + 1) * width, row.step
-        inside = inside.filter(F.least(F.floor((F.col("vf") - (low - step * width)) / width), F.lit(STEPS - 1)) == step)
-        if row.n <= EXACT_ROWS:
-            break
-    in_order = Window.orderBy("vf", "order")
-    last = (
-        inside.withColumn("total", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("total") <= budget - spent)
-        .orderBy(F.col("vf").desc(), F.col("order").desc())
-        .select("vf", "order")
-        .first()
-    )
-    return (last.vf, last.order) if last else (low, -(2**63))
+    """The last (time, order) of the range-sorted queue whose running total is within the budget."""
+    parts = pin(queue.repartitionByRange("time", "order").withColumn("part", F.spark_partition_id()), "queue")
+    totals = parts.groupBy("part").agg(F.sum("size").alias("n"))
+    # One row for each partition of the sort.
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("time", "order").rowsBetween(Window.unboundedPreceding, 0)
+    queued = parts.join(F.broadcast(before), "part").filter(F.col("before") <= budget).withColumn("total", F.col("before") + F.sum("size").over(inside))
+    last = queued.filter(F.col("total") <= budget).agg(F.max(F.struct("time", "order")).alias("m")).first().m
+    return (last.time, last.order) if last else (float("-inf"), 0)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, epochs: int = 2, seed: int = 17, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per document: doc_id, tkey, size, source_size, target, copies, taken."""
+    """One row per document: doc_id, tkey, src, size, source_size, target, times, order, finish, copies, taken.
+
+    ``times`` and ``order`` are the copies' places in the queue, ``finish`` is the first copy's virtual finish time.
+    """
     rows = docs.select("doc_id", "source", size_of("text").alias("size"), text_key().alias("tkey"))
-    rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
+    rows = rows.withColumn("src", _source())
     rows = pin(rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "tkey", "src")), "sizes")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     cells = max(1, -(-n // cell_rows))
@@ -114,27 +98,40 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, epochs:
     timed = pin(
         rows.withColumn("run", F.sum("size").over(inside))
         .join(cell_table, ["src", "cell"])
-        .select("doc_id", "tkey", "size", "source_size", "target", "order", (F.col("offset") + F.col("run")).alias("run")),
+        .select("doc_id", "tkey", "src", "size", "source_size", "target", "order", (F.col("offset") + F.col("run")).alias("run")),
         "times",
     )
-    finish = [F.try_divide(F.col("run") + F.col("source_size") * e, F.col("target")) for e in range(epochs)]
-    queue = timed.filter("size > 0").select("size", "order", F.explode(F.array(*finish)).alias("vf"))
-    vf, order = _cut(queue, int(total * budget))
-    taken = [F.when((F.col("size") > 0) & ((f < vf) | ((f == vf) & (F.col("order") <= order))), 1).otherwise(0) for f in finish]
+    middle = [F.try_divide(F.col("run") - F.col("size") / 2 + F.col("source_size") * e, F.col("target")) for e in range(epochs)]
+    queue = timed.filter("size > 0").select("size", "order", F.explode(F.array(*middle)).alias("time"))
+    time, order = _cut(queue, int(total * budget))
+    taken = [F.when((F.col("size") > 0) & ((m < time) | ((m == time) & (F.col("order") <= order))), 1).otherwise(0) for m in middle]
     copies = sum(taken[1:], taken[0])
     return timed.withColumn("copies", copies).select(
-        "doc_id", "tkey", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken")
+        "doc_id",
+        "tkey",
+        "src",
+        "size",
+        "source_size",
+        "target",
+        F.array(*middle).alias("times"),
+        "order",
+        F.try_divide(F.col("run"), F.col("target")).alias("finish"),
+        F.col("copies").cast("int").alias("copies"),
+        (F.col("size") * F.col("copies")).cast("long").alias("taken"),
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, with the columns of ``docs``."""
-    taken = mix(docs, **options).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    same = Window.partitionBy("__id", "__tkey").orderBy(F.lit(1))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__tkey": text_key()})
-    if keyed.groupBy("__id", "__tkey").count().filter("count > 1").limit(1).count():
-        keyed = keyed.withColumn("__nth", F.row_number().over(same))
+    """The mix itself in order of the queue: each document as often as the mix takes it, with the columns of ``docs``."""
+    key = ["doc_id", "tkey", "src"]
+    # Rows that are equal in all three share a list; it holds as many numbers as there are such rows.
+    taken = mix(docs, **options).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("copies", "times", "order"))).alias("queued"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("text"), _source().alias("from"))
+    if rows.groupBy("id", "text", "from").count().filter("count > 1").limit(1).count():
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text", "from").orderBy(F.lit(1))))
     else:
-        keyed = keyed.withColumn("__nth", F.lit(1))
-    joined = keyed.join(taken, F.col("__id").eqNullSafe(taken["doc_id"]) & (F.col("__tkey") == taken["tkey"])).drop(taken["doc_id"]).drop(taken["tkey"])
-    return joined.withColumn("__n", F.explode(F.expr("array_repeat(1, element_at(__copies, __nth))"))).select(*docs.columns)
+        rows = rows.withColumn("nth", F.lit(1))
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text") == F.col("tkey")) & (F.col("from") == F.col("src")))
+    own = joined.select("row", F.element_at("queued", F.col("nth")).alias("own"))
+    copies = own.select("row", "own.order", F.explode(F.slice("own.times", F.lit(1), F.col("own.copies"))).alias("time"))
+    return copies.repartitionByRange("time", "order").sortWithinPartitions("time", "order").select("row.*")

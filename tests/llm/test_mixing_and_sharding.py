@@ -51,6 +51,58 @@ def test_mix(make_docs, prose):
     assert dict(copies) == {i: x.copies for i, x in by.items() if x.copies}
 
 
+def queue_by_hand(spark, docs, target):
+    """Words taken of each document by the queue rule, all in one place: middles of service in order, cut at the budget."""
+    import pyspark.sql.functions as F
+
+    rows = docs.select("doc_id", "text", "source", mixing._source().alias("src"), mixing.text_key().alias("tkey"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(17), "doc_id", "tkey", "src")).orderBy("order").collect()
+    run, sizes, queue = defaultdict(int), defaultdict(int), []
+    for r in rows:
+        sizes[r.source] += len((r.text or "").split())
+    for r in rows:
+        n = len((r.text or "").split())
+        run[r.source] += n
+        for e in range(2):
+            if n:
+                queue.append(((run[r.source] - n / 2 + sizes[r.source] * e) / target[r.source], r.order, n, r.doc_id))
+    taken, left = defaultdict(int), int(1.5 * sum(sizes.values()))
+    for _, _, n, i in sorted(queue):
+        if n > left:
+            break
+        left -= n
+        taken[i] += n
+    return taken, [i for *_, i in sorted(queue)]
+
+
+def test_taken_words_are_those_of_the_queue(spark, make_docs, prose):
+    r = random.Random(8)
+    texts = [prose(k, 2000 if k == 5 else r.randrange(1, 90)) for k in range(200)]
+    docs = make_docs(texts, sources=[r.choice(["a", "a", "b", "c", None]) for _ in texts])
+    rows = mixing.mix(docs, cell_rows=30).collect()
+    taken, order = queue_by_hand(spark, docs, {r.src[1:] if r.src != "null" else None: r.target for r in rows})
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows}
+    for src in {r.src for r in rows}:
+        own = [r for r in rows if r.src == src]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in rows) / 2 + 90
+    mixed = [r.doc_id for r in mixing.mix_documents(docs).collect()]
+    assert mixed == order[: len(mixed)]
+
+
+def test_one_id_and_text_in_two_sources(make_docs):
+    docs = make_docs(["one two three"] * 2 + ["four five"] * 30, ids=[1, 1, *range(2, 32)], sources=["a", "b", *["a"] * 15, *["b"] * 15])
+    rows = mixing.mix(docs).collect()
+    wanted = sorted((r.src[1:], r.doc_id) for r in rows for _ in range(r.copies))
+    assert sorted((r.source, r.doc_id) for r in mixing.mix_documents(docs).collect()) == wanted
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "row", "id", "from", "nth", "time", "lap", "copies", "tkey", "src", "__id", "order"]
+    docs = spark.createDataFrame([(i, "one two", "s", *range(len(names) - 3)) for i in range(9)], names)
+    out = mixing.mix_documents(docs)
+    assert out.columns == names and out.count() >= 9
+
+
 def test_mix_of_repeated_rows_and_nothing(make_docs):
     docs = make_docs(["one two"] * 6 + ["three"], ids=[1] * 6 + [None])
     rows = mixing.mix(docs).collect()
