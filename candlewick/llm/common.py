@@ -14,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all run in one process."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(spark, "_cw_shared"):
         spark._cw_shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return spark._cw_shared
@@ -43,6 +46,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one column ``row`` beside the given keys, whose names so cannot clash with theirs; ``row.*`` gives the columns back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
 def text_key(text: str | Column = "text") -> Column:
     """128-bit digest of a text as a string; null stays apart from the empty text."""
     text = F.col(text) if isinstance(text, str) else text

@@ -30,7 +30,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import boxed, let
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -153,6 +153,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that share a window with the benchmark."""
-    dirty = find(docs, benchmark, **options).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), "__t").distinct()
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    return keyed.join(dirty, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")), "left_anti").select(*docs.columns)
+    dirty = find(docs, benchmark, **options).filter(F.size("hits") > 0).select(F.col("doc_id").alias("hit_id"), F.col("__t").alias("hit_text")).distinct()
+    rows = boxed(docs, id=F.col("doc_id"), text=F.xxhash64("text"))
+    return rows.join(dirty, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text") == F.col("hit_text")), "left_anti").select("row.*")

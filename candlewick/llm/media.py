@@ -239,7 +239,8 @@ OBJECTS = "array<struct<type:string,offset:long,length:long>>"
 
 
 def inspect(rows: DataFrame, data: str = "media", declared: str = "declared") -> DataFrame:
-    """``rows`` with media_type (corrected), valid, and objects (all valid media found, embedded ones included)."""
+    """``rows`` with media_type (corrected), valid, and objects (all valid media found, embedded ones included), in place of columns of these names."""
+    rows = rows.drop("media_type", "valid", "objects")
     kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +262,8 @@ def inspect(rows: DataFrame, data: str = "media", declared: str = "declared") ->
 
 
 def carve(rows: DataFrame, data: str = "media") -> DataFrame:
-    """One row for each object of inspected rows, with its bytes as ``object``."""
-    one = rows.select("*", F.posexplode("objects").alias("nth", "found"))
+    """One row for each object of inspected rows, with its bytes as ``object``, in place of columns nth, found and object."""
+    one = rows.drop("nth", "found", "object").select("*", F.posexplode("objects").alias("nth", "found"))
     return one.withColumn("object", F.substring(F.col(data), (F.col("found.offset") + 1).cast("int"), F.col("found.length").cast("int")))
 
 

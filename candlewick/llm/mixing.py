@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pin, text_key
+from .common import boxed, pin, text_key
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,7 +126,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     key = ["doc_id", "tkey", "src"]
     # Rows that are equal in all three share a list; it holds as many numbers as there are such rows.
     taken = mix(docs, **options).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("copies", "times", "order"))).alias("queued"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("text"), _source().alias("from"))
+    rows = boxed(docs, **{"id": F.col("doc_id"), "text": text_key(), "from": _source()})
     if rows.groupBy("id", "text", "from").count().filter("count > 1").limit(1).count():
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text", "from").orderBy(F.lit(1))))
     else:

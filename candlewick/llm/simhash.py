@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pin, text_key
+from .common import boxed, pin, text_key
 
 RADIUS = 2
 SHINGLE = 3
@@ -326,7 +326,7 @@ def keep_one_copy(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of each component the document with the smallest doc_id, by text digest among equal ids, once if its row is repeated."""
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by(F.struct("doc_id", "tkey"), "tkey").alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tkey").alias("__t"))
-    keyed = docs.withColumn("__tkey", text_key())
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__t")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__tkey"]).select(*docs.columns)
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.tkey").alias("kept_text"))
+    rows = boxed(docs, id=F.col("doc_id"), text=text_key())
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text") == F.col("kept_text")), "left_semi")
+    return out.dropDuplicates(["id", "text"]).select("row.*")
