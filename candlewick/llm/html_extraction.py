@@ -6,8 +6,8 @@ lines, known by their elements, roles and class names, and lines made of links
 weigh nothing. Over windows of ``WIDTH`` lines the weights are summed: a line
 where the sum rises above the threshold is a surge, the line after which the
 windows stay empty is a dive, and the lines between are the text. Lines in a
-marked article (article, main, or a role or property of that meaning) get
-enough extra weight to lie above the threshold, their links too. The windows
+marked article (article, main, or a role or property of that meaning) weigh
+``LIFT`` times as much, their links too. The windows
 run over the marked lines and over the others; the side with the heavier block
 is the text, where a marked element counts ``MARKED`` times, so teasers that are
 marked do not displace a body that is not. Class names count as whole
@@ -17,7 +17,9 @@ by its name.
 White space in a block becomes one space, character references are decoded,
 empty blocks go, blocks are joined by an empty line in page order. Null and
 empty pages, and pages without text, give an empty text; broken markup is read
-as far as it goes; repeated rows each get a row; other columns are ignored.
+as far as it goes; a very long page is read whole, in time that grows as its
+length; repeated rows each get a row; an empty table gives no rows; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 WIDTH = 3
 THRESHOLD = 86
 MARKED = 4
+LIFT = 16
 
 # Elements of HTML by their role in a page.
 BLOCKS = frozenset(
@@ -205,8 +208,8 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
 def extract(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD) -> str:
     rows = text_lines(page or "")
     rows = [r for i, r in enumerate(rows) if r[0] or (i and rows[i - 1][0])]
-    # A marked line lies above the threshold by itself, so that short headings and closing lines stay.
-    inner = [len(text) + threshold + 1 if mark and text else 0 for text, _, mark in rows]
+    # A marked line, its links included, weighs LIFT times its length, so that short headings and closing lines surge too.
+    inner = [LIFT * len(text) if mark else 0 for text, _, mark in rows]
     outer = [0 if mark else w for _, w, mark in rows]
     elements: dict[int, int] = {}
     for text, _, mark in rows:

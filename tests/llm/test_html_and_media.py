@@ -117,3 +117,10 @@ def test_marked_teasers_do_not_displace_the_body(gap):
     assert he.extract(f"<div>{BODY}</div>{gap}<div class='cards'>{teasers}</div>") == WANT
     assert he.extract(f"<div class='cards'>{teasers}</div>{gap}<div>{BODY}</div>") == WANT
     assert he.extract(f"<div><p>{LONG}</p></div>{gap}<article>{BODY}</article>") == WANT
+
+
+def test_a_very_long_page():
+    from candlewick.llm.html_extraction import extract
+
+    page = "<body><article>" + "".join(f"<p>paragraph number {i} of a long page</p>" for i in range(20000)) + "</article></body>"
+    assert extract(page).count("\n\n") == 19999
