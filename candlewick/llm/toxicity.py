@@ -53,10 +53,10 @@ THRESHOLD = 0.5
 SAMPLE = 8000
 WINDOW = 32
 WIDE = 4
-PAIRS = 32
+PAIRS = 20
 BAG = 2600
 POOL = 50_000
-STAGES, SCREEN = (4, 12), 1.0
+STAGES, SCREEN = (2, 8), 1.0
 LIMITS = (3.0, 5.0)
 FEATURES = 6 + 2 * len(LIMITS)
 CACHE = 800_000
@@ -77,7 +77,7 @@ def _wide(window: bytes) -> bytes:
 
 def _compressor(bag: bytes):
     how = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=4, target_length=0, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_dict_id=False
+        window_log=17, hash_log=13, chain_log=13, search_log=1, min_match=4, target_length=0, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_dict_id=False
     )
     content = b"".join(map(_wide, bag.split())) or b"\0" * 8
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress
