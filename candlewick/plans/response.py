@@ -96,7 +96,7 @@ def _plain(v):
 
 
 def respond(query: dict, bars: DataFrame, sessions: dict | None = None, rows: int = 500) -> dict:
-    """Run a query and build the envelope, with at most ``rows`` rows of the table and of its source."""
+    """Run a query and build the envelope, which shows the first ``rows`` rows of the table and of its source; counts, statistics, first and last are of all."""
     p = plan(query, bars, sessions)
     out: dict = {"query": query, "metadata": {"timeframe": p.timeframe, "kind": p.kind, "warnings": p.warnings}, "table": None, "source_rows": None, "source_row_count": None, "chart": None}
     source = p.source.persist() if p.source is not None else None
@@ -111,7 +111,9 @@ def respond(query: dict, bars: DataFrame, sessions: dict | None = None, rows: in
             return out
         out["table"] = [{k: _plain(v) for k, v in r.asDict().items()} for r in formatted(p).limit(rows).collect()]
         stats = {k: _plain(v) for k, v in statistics(p).first().asDict().items()}
-        out["summary"] = {"type": p.kind, "rows": stats.pop("rows"), "stats": stats, "first": out["table"][:1], "last": out["table"][-1:]}
+        total = stats.pop("rows")
+        last = out["table"][-1:] if total <= rows else [{k: _plain(v) for k, v in r.asDict().items()} for r in formatted(p).tail(1)]
+        out["summary"] = {"type": p.kind, "rows": total, "stats": stats, "first": out["table"][:1], "last": last}
         if p.kind == "grouped":
             row = extremes(p).first()
             out["summary"] |= {"by": p.keys, "min_row": row.min_row and {k: _plain(v) for k, v in row.min_row.asDict().items()}, "max_row": row.max_row and {k: _plain(v) for k, v in row.max_row.asDict().items()}}

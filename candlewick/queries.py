@@ -539,11 +539,44 @@ add("cal_opex", lambda s, d: cal.event_dates(s, "opex", "1995-01-01", "2001-12-3
 add("cal_nfp", lambda s, d: cal.event_dates(s, "nfp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} AS date FROM m")
 add("cal_vix", lambda s, d: cal.event_dates(s, "vix_exp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 12 AS date FROM m")
 add("cal_quad_witching", lambda s, d: cal.event_dates(s, "quad_witching", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 14 AS date FROM m WHERE month(m) IN (3, 6, 9, 12)")
-add("cal_holidays", lambda s, d: cal.holidays(s, 1995, 2001))
+
+
+def _holidays_sql(first: int, last: int) -> str:
+    """Common tables up to ``h`` (exchange, date, holiday, day_type, close_time): Easter in whole numbers, weekdays by counting on."""
+    nth = lambda m, w, n: f"make_date(y, {m}, 1) + CAST((({w} - isodow(make_date(y, {m}, 1)) + 7) % 7) + {7 * (n - 1)} AS INT)"
+    moved = lambda d: f"{d} - CAST(isodow({d}) = 6 AS INT) + CAST(isodow({d}) = 7 AS INT)"
+    before = lambda d: f"{d} - CASE isodow({d}) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END"
+    on = lambda m, d: f"make_date(y, {m}, {d})"
+    rule = {
+        "new_year": moved(on(1, 1)), "mlk_day": nth(1, 1, 3), "presidents_day": nth(2, 1, 3), "good_friday": "easter - 2",
+        "memorial_day": "make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INT)", "juneteenth": moved(on(6, 19)), "independence_day": moved(on(7, 4)),
+        "labor_day": nth(9, 1, 1), "thanksgiving": nth(11, 4, 4), "christmas": moved(on(12, 25)), "independence_day_eve": before(on(7, 3)),
+        "black_friday": nth(11, 4, 4) + " + 1", "christmas_eve": before(on(12, 24)), "new_year_eve": before(on(12, 31)),
+    }
+    days = " UNION ALL ".join(f"SELECT y, '{name}' AS holiday, {sql} AS date FROM e" for name, sql in rule.items())
+    kinds = [("US", n, None) for n in cal.US_CLOSED] + [("US", *x) for x in cal.US_EARLY.items()] + [("EU", n, None) for n in cal.EU_CLOSED] + [("EU", *x) for x in cal.EU_EARLY.items()]
+    kept = ", ".join(f"('{r}', '{n}', '{'early_close' if t else 'closed'}', {repr(t) if t else 'NULL'})" for r, n, t in kinds)
+    who = ", ".join(f"('{r}', '{x}')" for r, names in cal.EXCHANGES.items() for x in names)
+    return (
+        f"y AS (SELECT range AS y, range % 19 AS a, range // 100 AS b, range % 100 AS c FROM range({first}, {last + 1})), "
+        "g AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM y), "
+        "k AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM g), "
+        "x AS (SELECT *, h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114 AS x FROM k), "
+        f"e AS (SELECT y, make_date(y, x // 31, x % 31 + 1) AS easter FROM x), d AS ({days}), "
+        f"kept(region, holiday, day_type, close_time) AS (VALUES {kept}), who(region, exchange) AS (VALUES {who}), "
+        "h AS (SELECT exchange, date, holiday, day_type, CAST(close_time AS VARCHAR) AS close_time FROM d JOIN kept USING (holiday) JOIN who USING (region) WHERE year(date) = y)"
+    )
+
+
+add("cal_holidays", lambda s, d: cal.holidays(s, 1995, 2001), f"WITH {_holidays_sql(1995, 2001)} SELECT * FROM h")
 _OBSERVED = "d - CAST(dayofweek(d) = 6 AS INT) + CAST(dayofweek(d) = 0 AS INT)"
 add("cal_fixed_holidays", lambda s, d: cal.holidays(s, 1995, 2030).filter("exchange = 'CME' and holiday in ('juneteenth', 'independence_day', 'christmas')").select("date", "holiday"),
     f"WITH y AS (SELECT range AS y FROM range(1995, 2031)), r AS (SELECT make_date(y, 6, 19) AS d, 'juneteenth' AS holiday FROM y UNION ALL SELECT make_date(y, 7, 4), 'independence_day' FROM y UNION ALL SELECT make_date(y, 12, 25), 'christmas' FROM y) SELECT {_OBSERVED} AS date, holiday FROM r")
-add("cal_day_type", lambda s, d: cal.annotate_holidays(daily(s, d).select(F.to_date("ts").alias("date")), s, "CME"))
+add("cal_day_type", lambda s, d: cal.annotate_holidays(daily(s, d).select(F.to_date("ts").alias("date")), s, "CME"),
+    f"WITH {_holidays_sql(1990, 2060)}, one AS (SELECT date, arg_min(holiday, day_type) AS holiday, min(day_type) AS day_type, min(close_time) AS close_time FROM h WHERE exchange = 'CME' GROUP BY date), "
+    "b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) "
+    f"SELECT b.date, holiday, coalesce(day_type, 'regular') AS day_type, CASE WHEN day_type = 'closed' THEN NULL ELSE coalesce(close_time, '{cal.REGULAR_CLOSE}') END AS close_time, "
+    "isodow(b.date) < 6 AND coalesce(day_type, 'regular') <> 'closed' AS is_trading_day FROM b LEFT JOIN one ON b.date = one.date")
 _OPEX = "date_trunc('month', d) + INTERVAL 14 DAY"
 add("annotate_events", lambda s, d: cal.annotate_events(daily(s, d).select(F.to_date("ts").alias("date")), s).select("date", F.concat_ws(",", "events").alias("events"), "high_impact"),
     f"WITH b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), x AS (SELECT d, dayofweek(d) AS w, day(d) AS n, month(d) AS m FROM b), "

@@ -77,6 +77,9 @@ def test_envelope(hours):
     out = response.respond({"from": "daily", "map": {"dow": "dayofweek()", "r": "range()"}, "group_by": "dow", "select": "mean(r)"}, hours)
     assert out["table"][0]["dow"] == "Monday" and out["source_row_count"] == 9 and out["chart"] == {"category": "dow", "value": "mean_r"}
     assert response.describe(out).startswith("7 rows by dow")
+    whole = response.respond({"from": "daily"}, hours)
+    out = response.respond({"from": "daily"}, hours, rows=3)
+    assert len(out["table"]) == 3 and out["summary"]["rows"] == len(whole["table"]) > 3 and out["summary"]["last"] == whole["table"][-1:]
     out = response.respond({"select": "max(high)"}, hours)
     assert out["summary"] == {"type": "scalar", "value": 216.0}
 
