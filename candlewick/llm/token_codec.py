@@ -87,7 +87,7 @@ class _Model:
     def __init__(self, lanes: int, ids: int):
         self.ids = ids
         # Slots of order 1, then of order 2: first guess, second guess (16 bits each), state.
-        self.slots = np.zeros((1 << 16) + SLOTS, np.int64)
+        self.slots = np.zeros((1 << 16) + SLOTS, "<i8")
         self.seen = np.zeros(ids, np.int64)
         # Before anything is known a confident guess is worth a little more than an unsure one.
         a, b = np.divmod(np.arange(STATES), 8)
@@ -134,7 +134,9 @@ class _Model:
         self.at[0] = self.one
         self.at[1] = (((self.one * _MIX[0] + self.two * _MIX[1]).view(np.uint32) >> np.uint32(14)) & np.uint32(SLOTS - 1)) + np.uint32(1 << 16)
         slot = self.slots.take(self.at)
-        self.guess = np.concatenate([slot & 0xFFFF, slot >> 16 & 0xFFFF]).astype(np.int32)
+        parts = slot.view("<u2").reshape(2, -1, 4)
+        self.guess = np.empty((4, slot.shape[1]), np.int32)
+        self.guess[:2], self.guess[2:] = parts[..., 0], parts[..., 1]
         self.before = slot >> 32
         self.pair = self.before[1] * STATES + self.before[0]
         share = self.share.take(self.pair, axis=1)
@@ -171,9 +173,10 @@ class _Model:
         other = np.flatnonzero(left < self.sums.take(next_guess))
         left = left.take(other)
         found = self.coarse.take(left >> COARSE)
-        for _ in range(3):
-            found += self.sums.take(found + 1) <= left
         far = np.flatnonzero(self.sums.take(found + 1) <= left)
+        for _ in range(2):
+            found[far] += 1
+            far = far[self.sums.take(found.take(far) + 1) <= left.take(far)]
         found[far] = np.searchsorted(self.sums, left.take(far), side="right") - 1
         ids[other] = found
         return ids

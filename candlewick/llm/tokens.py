@@ -41,7 +41,7 @@ from .common import shared_path
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
-CACHE = 1_000_000
+CACHE = 800_000
 BATCH = 4096
 #: Bytes of text for each task, however large the input.
 PARTITION = 64 << 20
@@ -129,7 +129,7 @@ def encoder(path: str):
 
     def run(texts: list[str]) -> list[np.ndarray]:
         # Arrow lowers and splits these characters as the tokenizer does.
-        simple = [not (ODD.search(t) or ("<|" in t and any(s in t for s in special))) for t in texts]
+        simple = [not ((any(c in t for c in SEPARATORS) if t.isascii() else ODD.search(t)) or ("<|" in t and any(s in t for s in special))) for t in texts]
         some = iter(plain([t for t, x in zip(texts, simple) if x]) if any(simple) else [])
         return [np.concatenate([next(some) if x else odd(t), end]) for t, x in zip(texts, simple)]
 
