@@ -18,6 +18,7 @@ from .operators import timeframes as tf
 from .plans import response
 from .plans.query import plan, run_query
 from .sources import bars as src
+from .sources import instruments as ins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -577,6 +578,18 @@ add("cal_day_type", lambda s, d: cal.annotate_holidays(daily(s, d).select(F.to_d
     "b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) "
     f"SELECT b.date, holiday, coalesce(day_type, 'regular') AS day_type, CASE WHEN day_type = 'closed' THEN NULL ELSE coalesce(close_time, '{cal.REGULAR_CLOSE}') END AS close_time, "
     "isodow(b.date) < 6 AND coalesce(day_type, 'regular') <> 'closed' AS is_trading_day FROM b LEFT JOIN one ON b.date = one.date")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+add("session_table", lambda s, d: ins.sessions(s),
+    f"SELECT *, CAST((date_diff('minute', CAST('2000-01-01 ' || opens AS TIMESTAMP), CAST('2000-01-01 ' || closes AS TIMESTAMP)) + 1440) % 1440 AS INT) AS minutes FROM (VALUES {_values(ins.session_rows())}) t(symbol, exchange, session, opens, closes)")
+add("event_catalogue", lambda s, d: ins.event_catalogue(s).groupBy("category", "impact").agg(F.count(F.lit(1)).alias("n"), F.count("time").alias("timed")),
+    "SELECT category, impact, count(*) AS n, count(nullif(time, '-')) AS timed FROM (VALUES " + _values(x.split(maxsplit=4) for x in ins.EVENTS.strip().splitlines()) + ") t(event, category, impact, time, schedule) GROUP BY ALL")
+add("session_of_symbol", lambda s, d: shown(tf.session_filter(hourly(s, d), *ins.sessions_of("CL")["RTH"]).drop("symbol")),
+    f"WITH bars AS ({intraday_sql(60)}) SELECT strftime(ts, '%Y-%m-%d %H:%M') AS ts, {', '.join(f'{rnd(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars WHERE hour(ts) * 60 + minute(ts) BETWEEN 540 AND 869")
 _OPEX = "date_trunc('month', d) + INTERVAL 14 DAY"
 add("annotate_events", lambda s, d: cal.annotate_events(daily(s, d).select(F.to_date("ts").alias("date")), s).select("date", F.concat_ws(",", "events").alias("events"), "high_impact"),
     f"WITH b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), x AS (SELECT d, dayofweek(d) AS w, day(d) AS n, month(d) AS m FROM b), "
