@@ -12,7 +12,10 @@ inside another is reported only if the outer one is a mere container of bytes
 ``read_samples`` gives them back from a value that has been sniffed.
 
 Null values have type null and no objects; empty and unknown values keep the
-declared type with ``valid`` false. Repeated rows each get a row.
+declared type with ``valid`` false. A very long value is scanned in one pass and
+stored whole (up to WAV's 4 GB). Repeated rows each get a row; an empty table
+gives no rows; ``inspect`` and ``carve`` keep other columns and replace those that
+have the names they add.
 """
 
 from __future__ import annotations

@@ -13,9 +13,11 @@ statistics meet the labels. The text alone is scored;
 labels, lang, source and doc_id are never features.
 
 Null and empty texts have a score like any other (their statistics are the
-smoothed zeros). Labels other than 0 and 1 and null labels teach nothing; a
-document with several labels counts once for each. Repeated documents rows
-each get a row; the extra columns are ignored. With labels of fewer than two
+smoothed zeros); a very long text is read whole, in time that grows as its
+length. Labels other than 0 and 1 and null labels teach nothing; a
+document with several labels counts once for each. Repeated documents
+each get a row; an empty table gives no rows; other columns are ignored,
+whatever they are called. With labels of fewer than two
 classes the score is the share of label 1 (0.5 without labels).
 """
 

@@ -22,7 +22,9 @@ table a round, with no driver state but a row count.
 Null and empty texts have fingerprint zero and link like any other; texts with
 fewer words than a shingle are one shingle; repeated rows share a component;
 rows with a null doc_id take part, but null names no component unless all
-members are null. Other columns are ignored; an empty table gives no rows.
+members are null. A very long text is hashed whole, in its own task's memory.
+Other columns are ignored, whatever they are called (kept by ``keep_one`` and
+``keep_one_copy``); an empty table gives no rows.
 
 ``near_copies`` is for cleaning a corpus: texts link if the Jaccard similarity
 of their sets of shingles (five words, as XXH64 values) is 0.8 or more. At that

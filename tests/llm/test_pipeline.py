@@ -54,3 +54,14 @@ def test_stages(spark):
     for df in out:
         assert df.columns == docs.columns
     assert cp.STAGES[4][1](spark, out[3], SF).count() == out[3].count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_on_odd_texts_and_nothing(spark, make_docs, odd_texts):
+    odd = make_docs(odd_texts)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            out.collect()
+        assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count()
