@@ -10,8 +10,10 @@ many lanes there are.
 An id's probability is a mixture of distributions over all ids:
 
 * order 0: frequencies of the block so far, with a share for ids not seen yet,
-* order 1: two ids that followed the last id,
-* order 2: an id that followed the last two (a second one waits to replace it).
+* order 1: an id that followed the last id,
+* order 2: an id that followed the last two.
+
+A context's slot keeps a second id, which takes the first one's place once it is the better guess.
 
 Weights are learned: what the contexts' slots are worth is counted for every
 pair of their states, as the ids come. The range coder works on the cumulative
@@ -76,8 +78,8 @@ def _slot_rules():
 _AFTER, _LEAD, _SECOND = _slot_rules()
 _AFTER = _AFTER.astype(np.int64) << 32
 _MIX = np.array([0x2545F491, 0x1E3779B1], np.int32)
-# By which guesses were right (1 and 4: order 1's, 2: order 2's): the most specific has the credit, none order 0.
-_CREDIT = np.array([1 if h & 2 else 0 if h & 1 else 2 if h & 4 else 3 for h in range(8)]) * STATES**2
+# By which guesses were right (1: order 1's, 2: order 2's): the more specific has the credit, none order 0.
+_CREDIT = np.array([2, 0, 1, 1]) * STATES**2
 _OUTCOME = np.array([2, 0, 1, 0]) * STATES
 
 
@@ -92,7 +94,7 @@ class _Model:
         # Before anything is known a confident guess is worth a little more than an unsure one.
         a, b = np.divmod(np.arange(STATES), 8)
         two, one = np.divmod(np.arange(STATES**2), STATES)
-        self.worth = np.stack([a[one], a[two], b[one], np.full(STATES**2, 4)])
+        self.worth = np.stack([a[one], a[two], np.full(STATES**2, 4)])
         self.one, self.two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.at = np.zeros((2, lanes), np.int64)
         self.kept: list[np.ndarray] = []
@@ -121,7 +123,7 @@ class _Model:
         # For every COARSE-th place the id that holds it: where the search for a place begins.
         first = self.sums[:-1] + ((1 << COARSE) - 1) >> COARSE
         self.coarse = np.cumsum(np.bincount(first, minlength=(_TOTAL >> COARSE) + 1)) - 1
-        share = self.worth[:3] * (_WEIGHT - 15) // self.worth.sum(axis=0)
+        share = self.worth[:2] * (_WEIGHT - 15) // self.worth.sum(axis=0)
         self.share = np.concatenate([share * _TOTAL, _WEIGHT - share.sum(axis=0, keepdims=True)]).astype(np.int32)
         self.waited = 0
 
@@ -130,7 +132,7 @@ class _Model:
         self.one, self.two, self.at = self.one[:n], self.two[:n], np.ascontiguousarray(self.at[:, :n])
 
     def predict(self) -> None:
-        """Guesses of the contexts (first ones of orders 1 and 2, second ones), the weights of the first three, and order 0's."""
+        """Guesses of the contexts (first ones of orders 1 and 2, second ones), the weights of the first two, and order 0's."""
         self.at[0] = self.one
         self.at[1] = (((self.one * _MIX[0] + self.two * _MIX[1]).view(np.uint32) >> np.uint32(14)) & np.uint32(SLOTS - 1)) + np.uint32(1 << 16)
         slot = self.slots.take(self.at)
@@ -140,33 +142,32 @@ class _Model:
         self.before = slot >> 32
         self.pair = self.before[1] * STATES + self.before[0]
         share = self.share.take(self.pair, axis=1)
-        self.weight, self.rest = share[:3], share[3]
+        self.weight, self.rest = share[:2], share[2]
 
     def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of ids in the mixture."""
         apart = self.guess - ids
         self.hit = apart == 0
-        below = apart[:3] >> 31 & self.weight
-        same = -self.hit[:3].astype(np.int32) & self.weight
+        below = apart[:2] >> 31 & self.weight
+        same = -self.hit[:2].astype(np.int32) & self.weight
         low = self.sums.take(ids)
-        start = self.rest * low + (below[0] + below[1] + below[2])
-        width = self.rest * (self.sums.take(ids + 1) - low) + (same[0] + same[1] + same[2])
+        start = self.rest * low + (below[0] + below[1])
+        width = self.rest * (self.sums.take(ids + 1) - low) + (same[0] + same[1])
         return start, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose shares the values lie."""
         # The guesses in ascending order, each with its weight (below 2^31) behind it.
-        a, b, c = self.guess[:3].astype(np.int64) << 32 | self.weight
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        b, c = np.minimum(b, c), np.maximum(b, c)
-        ordered = np.stack([np.minimum(a, b), np.maximum(a, b), c])
+        a, b = self.guess[:2].astype(np.int64) << 32 | self.weight
+        ordered = np.stack([np.minimum(a, b), np.maximum(a, b)])
         guess, weight = (ordered >> 32).astype(np.int32), ordered.astype(np.int32)
         ends = self.rest * self.sums.take(guess + 1)
-        two = weight[0] + weight[1]
-        over = value >= ends + np.stack([weight[0], two, two + weight[2]])
+        ends[0] += weight[0]
+        ends[1] += weight[0] + weight[1]
+        over = value >= ends
         passed = weight & -over.astype(np.int32)
-        passed = passed[0] + passed[1] + passed[2]
-        next_guess = np.where(over[2], self.ids, np.where(over[1], guess[2], np.where(over[0], guess[1], guess[0])))
+        passed = passed[0] + passed[1]
+        next_guess = np.where(over[1], self.ids, np.where(over[0], guess[1], guess[0]))
         # What lies at or behind the start of the next guess is that guess; the rest is order 0's alone.
         left = (value - passed) // self.rest
         ids = next_guess
@@ -184,7 +185,7 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         hit = self.hit.view(np.uint8)
         self.kept.append(ids)
-        self.kinds.append(_CREDIT.take(hit[0] | hit[1] << 1 | hit[2] << 2) + self.pair)
+        self.kinds.append(_CREDIT.take(hit[0] | hit[1] << 1) + self.pair)
         rule = _OUTCOME.take(hit[:2] | hit[2:] << 1) + self.before
         first, other, lead = self.guess[:2], self.guess[2:], _LEAD.take(rule)
         other = np.where(lead, first, np.where(_SECOND.take(rule), ids, other))

@@ -42,7 +42,7 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 4_000_000
 CACHE = 800_000
-BATCH = 4096
+BATCH = 8192
 #: Bytes of text for each task, however large the input.
 PARTITION = 64 << 20
 # Python counts these as white space, the tokenizer does not: it gives them ids.
