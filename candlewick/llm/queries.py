@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, tokens, toxicity
+from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, suffix_trees, tokens, toxicity
 from .common import held_out, pin, table
 
 
@@ -70,8 +70,17 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = (
+    op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards, op11_window_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards)}
+    return {f.__name__: f for f in QUERIES}
 
 
 ORACLE_SQL: dict[str, str] = {}
