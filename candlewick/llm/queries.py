@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, suffix_dedup, suffix_trees, tokens, toxicity
+from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, source_audit, suffix_dedup, suffix_trees, tokens, toxicity
 from .common import held_out, pin, table
 
 
@@ -74,8 +74,12 @@ def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.remove_repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
-    op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards, op11_window_dedup,
+    op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards, op11_window_dedup, op12_source_audit,
 )
 
 
@@ -83,7 +87,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_source_audit": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+             regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+     t AS (SELECT lang, source, doc, unnest(terms) AS term FROM d),
+     kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+     langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+     groups AS (SELECT DISTINCT lang, source FROM d),
+     counts AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+     sizes AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+           FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+             LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+     apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+               FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+               UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
