@@ -51,8 +51,8 @@ from .common import pin, shared_path
 WINDOW = 20
 GRAM = 8
 LIMIT = 4096
-PIECE = 1 << 22
-CHUNK = 16384
+PIECE = 1 << 20
+CHUNK = 8192
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,8 +73,7 @@ class Words:
         self.data = np.where(space, np.uint8(32), raw)[keep]
         begins = ~space
         begins[1:] &= space[:-1]
-        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.first = np.concatenate([[0], np.cumsum(begins)])[np.minimum(at, len(raw))] if len(raw) else np.zeros(len(texts) + 1, np.int64)
+        self.first = np.searchsorted(np.flatnonzero(begins), np.cumsum([0, *(len(t) + 1 for t in texts)]))
         stops = np.flatnonzero(self.data == 32)
         self.start = np.concatenate([[0], stops + 1]).astype(np.int64)
         self.letters, lengths = self.data[self.data != 32], np.diff(self.start) - 1
@@ -99,16 +98,15 @@ class Words:
         return self.data[self.start[a] : max(self.start[a], self.start[b] - 1)].tobytes()
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of PIECE bytes or so together, with the place of the first."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PIECE:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+def pieces(packed: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of PIECE bytes or so together, unpacked, with the place of the first."""
+    unpack, held, at, size = zstandard.ZstdDecompressor().decompress, [], 0, 0
+    for i, z in enumerate(packed):
+        held.append(unpack(z.as_buffer()))
+        size += len(held[-1])
+        if size >= PIECE or i + 1 == len(packed):
+            yield at, held
+            held, at, size = [], i + 1, 0
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -151,11 +149,6 @@ def runs(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _unpacked(column: pa.Array) -> list[bytes]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    return [open_(z) for z in column.to_pylist()]
-
-
 def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, tkey, z): each distinct text once, compressed, in a table bucketed by ``key``; and (doc_id, tkey) of all rows."""
     spark = docs.sparkSession
@@ -187,8 +180,8 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _runs_of(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, held = batch.column(0).to_numpy(), _unpacked(batch.column(1))
-            for at, some in pieces(held):
+            keys = batch.column(0).to_numpy()
+            for at, some in pieces(batch.column(1)):
                 words = Words(some)
                 text, start, n, name = runs(words.hashes(), words.first, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(name)], ["key", "at", "n", "gram"])
@@ -201,10 +194,10 @@ def _segments(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, lists, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3), _unpacked(batch.column(2))
+            keys, docs, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             ends, inside = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), lists.flatten()
             at, n, name = (inside.field(i).to_numpy() for i in range(3))
-            for begin, some in pieces(held):
+            for begin, some in pieces(batch.column(2)):
                 words = Words(some)
                 of = np.repeat(np.arange(len(some)), np.diff(ends[begin : begin + len(some) + 1]))
                 own = slice(ends[begin], ends[begin + len(some)])
@@ -306,14 +299,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, spans, kept, digests = [], [], [], [], []
-            lists, held = batch.column(3).to_pylist(), _unpacked(batch.column(2))
-            for begin, some in pieces(held):
-                words = Words(some)
+            for begin, some in pieces(batch.column(2)):
+                words, n_words, n_removed, spans, kept, digests = Words(some), [], [], [], [], []
                 for k in range(len(some)):
                     a, b = int(words.first[k]), int(words.first[k + 1])
                     change = np.zeros(b - a + 1, np.int64)
-                    for hit in lists[begin + k] or ():
+                    for hit in batch.column(3)[begin + k].as_py() or ():
                         at, mask = hit["at"], hit["mask"]
                         while mask:
                             low = (mask & -mask).bit_length() - 1
@@ -328,8 +319,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
                     spans.append(edges.reshape(-1, 2).tolist())
                     kept.append(left.decode())
                     digests.append(hashlib.sha256(left).hexdigest())
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["least", "tkey", "n_words", "n_removed", "spans", "kept", "kept_sha256"])
+                made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(some)).columns[:2], *made], ["least", "tkey", "n_words", "n_removed", "spans", "kept", "kept_sha256"])
 
     done = texts.join(masks, "key", "left").select("doc_id", "tkey", "z", "hits").mapInArrow(run, "least long, tkey binary, n_words long, n_removed long, spans array<array<long>>, kept string, kept_sha256 string")
     copy = ~F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("n_words") >= window)
