@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontamination, html_extraction, media, mixing, quality, sharding, simhash, source_audit, suffix_dedup, suffix_trees, tokens, toxicity
+from . import conversation_trie, decontamination, html_extraction, media, mixing, quality, sharding, simhash, source_audit, suffix_dedup, suffix_trees, tokens, toxicity
 from .common import held_out, pin, table
 
 
@@ -78,8 +78,13 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(*conversation_trie.spliced(conversation_trie.turns(table(spark, sf_dir, "conversations")))).drop("preorder", "subtree_end")
+
+
 QUERIES = (
     op1_decontamination, op2_simhash, op3_quality, op4_main_text, op5_toxicity, op6_suffix_dedup, op7_media, op8_tokens, op9_mix_sources, op10_shards, op11_window_dedup, op12_source_audit,
+    op13_conversation_trie,
 )
 
 
@@ -111,6 +116,23 @@ WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, ro
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM found QUALIFY part = 'pair' OR rank <= 50""",
+    # crc32 of the id's digits, bit by bit: a digit is taken in, then eight shifts.
+    "op13_conversation_trie": """
+WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     c AS (SELECT conv_id, own, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h FROM t),
+     b AS (SELECT c.conv_id, list_concat(coalesce(base.own, [])[1:c.h], c.own[c.h + 1:]) AS turns FROM c LEFT JOIN t base ON base.conv_id = c.conv_id - c.conv_id % 100),
+     p AS (SELECT conv_id, len(turns) AS length, unnest(range(0, len(turns) + 1)) AS depth, turns FROM b),
+     n AS (SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256,
+             CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(turns[depth].x) END AS saved FROM p GROUP BY depth, turns[1:depth], turns[depth].x),
+     k AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+     m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.path = n.path),
+     s AS (SELECT a.depth, a.path, sum((b.n_children = 0)::INT) AS n_leaves, sum(b.saved) AS saved_tokens FROM m a JOIN m b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY ALL),
+     f AS (SELECT m.*, s.n_leaves, s.saved_tokens FROM m JOIN s ON s.depth = m.depth AND s.path = m.path)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, f.n_leaves::BIGINT AS n_leaves, f.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f LEFT JOIN f u ON u.depth = f.depth - 1 AND u.path = f.path[1:f.depth - 1]""",
 }
 
 
