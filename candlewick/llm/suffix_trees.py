@@ -264,7 +264,10 @@ def _from_trees(segments: DataFrame, window: int) -> DataFrame:
 
 
 def _from_nodes(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """The same of grams with more than LIMIT segments: each window is a group of its own, which has one node."""
+    """The same of grams with more than LIMIT segments: each window is a group of its own, which has one node.
+
+    A task settles the leaves that it has several of; one leaf a node and task goes on to find the earliest of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,17 +278,33 @@ def _from_nodes(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 names += [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(m)]
             segment = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc[segment]), pa.array(key[segment]), pa.array((at[segment] + step).astype(np.int32))], ["prefix", "id", "key", "at"])
+            place = (at[segment] + step).astype(np.int32)
+            prefix = pa.array(names, pa.binary())
+            node = prefix.dictionary_encode().indices.to_numpy()
+            order = np.lexsort([place, key[segment], doc[segment], node])
+            first = np.sort(order[np.r_[True, node[order][1:] != node[order][:-1]]]) if len(order) else order
+            later = np.ones(len(segment), np.int64)
+            later[first] = 0
+            mask = np.bincount(segment, weights=later << step, minlength=len(n)).astype(np.int64)
+            hit = np.flatnonzero(mask)
+            yield _leaves(prefix.take(pa.array(first)), doc[segment][first], key[segment][first], place[first], np.zeros(len(first), np.int64))
+            yield _leaves(pa.nulls(len(hit), pa.binary()), doc[hit], key[hit], at[hit], mask[hit])
+
+    leaves = pin(_segments(texts, found, window).mapInArrow(run, "prefix binary, id long, key long, at int, mask long"), "leaves")
+    across = leaves.filter("prefix is not null")
+    nodes = pin(across.groupBy("prefix").agg(F.min(F.struct("id", "key", "at")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "earliest"), "nodes")
+    more = across.join(nodes, "prefix").filter(F.struct("id", "key", "at") != F.col("earliest")).select("key", "at", F.lit(1).cast("long").alias("mask"))
+    return leaves.filter("prefix is null").select("key", "at", "mask").union(more)
+
 
-    leaves = pin(_segments(texts, found, window).mapInArrow(run, "prefix binary, id long, key long, at int"), "leaves")
-    nodes = leaves.groupBy("prefix").agg(F.min(F.struct("id", "key", "at")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "earliest")
-    return leaves.join(nodes, "prefix").filter(F.struct("id", "key", "at") != F.col("earliest")).select("key", "at", F.lit(1).cast("long").alias("mask"))
+def _leaves(prefix: pa.Array, doc: np.ndarray, key: np.ndarray, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([prefix, pa.array(doc), pa.array(key), pa.array(at), pa.array(mask)], ["prefix", "id", "key", "at", "mask"])
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """(key, at, mask): a mask's bit i is set where the window that starts at word at + i is a repeat."""
-    every = _runs_of(texts, window, gram)
-    shared = every.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    every = pin(_runs_of(texts, window, gram), "all-runs")
+    shared = pin(every.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")  # written, so that the join below can split a frequent gram
     found = pin(every.join(shared, "gram").select("gram", "key", "at", "n", (F.col("size") > limit).alias("large")), "runs")
     return _from_trees(_segments(texts, found.filter("not large"), window), window).union(_from_nodes(texts, found.filter("large"), window))
 
