@@ -72,17 +72,28 @@ def _sorted(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], s
     return pin(rows.select("*", _key(keys).alias("_s_key"), F.spark_partition_id().alias("_s_slice")), "slices")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column], slices: int | None = None) -> DataFrame:
-    """``df`` with running sums: ``sums`` names a column and what it adds up over the rows of the same keys, up to and with this one.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, Column | tuple[str, Column]], slices: int | None = None) -> DataFrame:
+    """``df`` with running values over the rows of the same keys, up to and with this one.
 
-    A null adds nothing, and a sum of nothing is 0. Sums of integers stay exact.
+    ``values`` names a column and says what it holds: a Column is added up (null adds nothing, a sum of
+    nothing is 0, sums of integers stay exact); ``("max", c)`` and ``("min", c)`` are the extremes so far;
+    ``("last", c)`` is the last value that is not null, for which ``order`` must be names of columns, ascending.
     """
+    kinds = {n: v if isinstance(v, tuple) else ("sum", v) for n, v in values.items()}
     rows = _sorted(df, keys, order, slices)
-    own = rows.groupBy(*PART).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
-    before = F.struct(*[F.coalesce(F.sum(F.col(f"`{n}`")).over(_earlier()), F.lit(0)).alias(n) for n in sums]).alias("_s_before")
+    ends = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))}
+    own = rows.groupBy(*PART).agg(*[ends[kind](c).alias(n) for n, (kind, c) in kinds.items()])
+    merge = {"sum": lambda c: F.coalesce(F.sum(c).over(_earlier()), F.lit(0)), "max": lambda c: F.max(c).over(_earlier()), "min": lambda c: F.min(c).over(_earlier()), "last": lambda c: F.last(c, ignorenulls=True).over(_earlier())}
+    before = F.struct(*[merge[kind](F.col(f"`{n}`")).alias(n) for n, (kind, _) in kinds.items()]).alias("_s_before")
     inside = Window.partitionBy(*PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(own.select(*PART, before), PART)
-    return joined.select(*columns(df.columns), *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s_before.`{n}`")).alias(n) for n, c in sums.items()])
+    both = {
+        "sum": lambda c, b: F.coalesce(F.sum(c).over(inside), F.lit(0)) + b,
+        "max": lambda c, b: F.greatest(F.max(c).over(inside), b),
+        "min": lambda c, b: F.least(F.min(c).over(inside), b),
+        "last": lambda c, b: F.coalesce(F.last(c, ignorenulls=True).over(inside), b),
+    }
+    return joined.select(*columns(df.columns), *[both[kind](c, F.col(f"_s_before.`{n}`")).alias(n) for n, (kind, c) in kinds.items()])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "row", slices: int | None = None) -> DataFrame:

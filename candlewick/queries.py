@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_long
 from .functions import REGISTRY
 from .operators import backtest as bt
 from .operators import market_calendar as cal
@@ -601,8 +602,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     missing = [f for f in REGISTRY if f"fn_{f}" not in QUERIES]
     if missing:
         raise LookupError(f"functions without a query: {missing}")
-    return dict(QUERIES)
+    return QUERIES | queries_long.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | queries_long.SQL
