@@ -52,7 +52,7 @@ WINDOW = 20
 GRAM = 8
 LIMIT = 4096
 PIECE = 1 << 20
-CHUNK = 8192
+CHUNK = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,10 +88,11 @@ class Words:
         coded = words.dictionary_encode()
         return coded.indices.to_numpy(), coded.dictionary
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, *seeds: int) -> list[np.ndarray]:
+        """A 64-bit hash of each word, for each seed."""
         ids, words = self.ids()
-        known = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-        return known[ids]
+        listed = words.to_pylist()
+        return [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in listed), np.uint64, len(listed))[ids] for seed in seeds]
 
     def cut(self, a: int, b: int) -> bytes:
         """The words from a to b - 1, joined by one space."""
@@ -183,7 +184,7 @@ def _runs_of(texts: DataFrame, window: int, gram: int) -> DataFrame:
             keys = batch.column(0).to_numpy()
             for at, some in pieces(batch.column(1)):
                 words = Words(some)
-                text, start, n, name = runs(words.hashes(), words.first, window, gram)
+                text, start, n, name = runs(words.hashes(0)[0], words.first, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(name)], ["key", "at", "n", "gram"])
 
     return texts.select("key", "z").mapInArrow(run, "key long, at int, n short, gram long")
@@ -202,8 +203,11 @@ def _segments(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 of = np.repeat(np.arange(len(some)), np.diff(ends[begin : begin + len(some) + 1]))
                 own = slice(ends[begin], ends[begin + len(some)])
                 a = words.first[of] + at[own]
-                cut = [words.cut(x, y) for x, y in zip(a.tolist(), (a + n[own] + window - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(name[own]), pa.array(docs[begin + of]), pa.array(keys[begin + of]), pa.array(at[own]), pa.array(n[own]), pa.array(cut, pa.binary())], ["gram", "id", "key", "at", "n", "words"])
+                b = a + n[own] + window - 1
+                made = [name[own], docs[begin + of], keys[begin + of], at[own], n[own]]
+                for i in range(0, len(a), CHUNK):
+                    cut = [words.cut(x, y) for x, y in zip(a[i : i + CHUNK].tolist(), b[i : i + CHUNK].tolist())]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[i : i + CHUNK]) for x in made], pa.array(cut, pa.binary())], ["gram", "id", "key", "at", "n", "words"])
 
     by = found.groupBy("key").agg(F.collect_list(F.struct("at", "n", "gram")).alias("runs"))
     last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
@@ -237,13 +241,15 @@ def subtrees(group: np.ndarray, doc: list[np.ndarray], at: np.ndarray, n: np.nda
 
 
 def _from_trees(segments: DataFrame, window: int) -> DataFrame:
-    """(key, at, mask) of segments with repeats; a task builds the trees of its groups one chunk of groups after another."""
+    """(key, start, stop) of the words that repeats in the segments cover; a task builds the trees of its groups one chunk of groups after another."""
 
     def build(table: pa.Table) -> pa.RecordBatch:
         group, doc, key, at, n = (table.column(i).to_numpy() for i in range(5))
         mask = subtrees(group, [doc, key], at.astype(np.int64), n.astype(np.int64), table.column(5).to_pylist(), window)
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(at[hit]), pa.array(mask[hit])], ["key", "at", "mask"])
+        # A segment's windows start less than a window apart, so what its repeats cover is one span.
+        low, high = (np.log2(m).astype(np.int32) for m in (mask[hit] & -mask[hit], mask[hit]))
+        return _spans(key[hit], at[hit] + low, at[hit] + high + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -260,49 +266,67 @@ def _from_trees(segments: DataFrame, window: int) -> DataFrame:
         if rest:
             yield build(pa.Table.from_batches(rest).combine_chunks())
 
-    return segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, at int, mask long")
+    return segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, start int, stop int")
+
+
+def _spans(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["key", "start", "stop"])
 
 
 def _from_nodes(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """The same of grams with more than LIMIT segments: each window is a group of its own, which has one node.
 
-    A task settles the leaves that it has several of; one leaf a node and task goes on to find the earliest of all.
+    Windows are named by two 64-bit hashes. A task settles the leaves that it has several of;
+    one leaf a node and piece of texts goes on, to find the earliest of all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, key, at, n = (batch.column(i).to_numpy() for i in range(1, 5))
-            names = []
-            for data, m in zip(batch.column(5).to_pylist(), n.tolist()):
-                words = data.split(b" ")
-                names += [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(m)]
-            segment = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-            place = (at[segment] + step).astype(np.int32)
-            prefix = pa.array(names, pa.binary())
-            node = prefix.dictionary_encode().indices.to_numpy()
-            order = np.lexsort([place, key[segment], doc[segment], node])
-            first = np.sort(order[np.r_[True, node[order][1:] != node[order][:-1]]]) if len(order) else order
-            later = np.ones(len(segment), np.int64)
-            later[first] = 0
-            mask = np.bincount(segment, weights=later << step, minlength=len(n)).astype(np.int64)
-            hit = np.flatnonzero(mask)
-            yield _leaves(prefix.take(pa.array(first)), doc[segment][first], key[segment][first], place[first], np.zeros(len(first), np.int64))
-            yield _leaves(pa.nulls(len(hit), pa.binary()), doc[hit], key[hit], at[hit], mask[hit])
-
-    leaves = pin(_segments(texts, found, window).mapInArrow(run, "prefix binary, id long, key long, at int, mask long"), "leaves")
-    across = leaves.filter("prefix is not null")
-    nodes = pin(across.groupBy("prefix").agg(F.min(F.struct("id", "key", "at")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "earliest"), "nodes")
-    more = across.join(nodes, "prefix").filter(F.struct("id", "key", "at") != F.col("earliest")).select("key", "at", F.lit(1).cast("long").alias("mask"))
-    return leaves.filter("prefix is null").select("key", "at", "mask").union(more)
-
-
-def _leaves(prefix: pa.Array, doc: np.ndarray, key: np.ndarray, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([prefix, pa.array(doc), pa.array(key), pa.array(at), pa.array(mask)], ["prefix", "id", "key", "at", "mask"])
+            keys, docs, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            ends, inside = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), lists.flatten()
+            at, n = inside.field(0).to_numpy(), inside.field(1).to_numpy().astype(np.int64)
+            for begin, some in pieces(batch.column(2)):
+                words = Words(some)
+                name, other = (grams(h, window) for h in words.hashes(1, 2))
+                own = slice(ends[begin], ends[begin + len(some)])
+                text = np.repeat(np.repeat(np.arange(len(some)), np.diff(ends[begin : begin + len(some) + 1])), n[own])
+                start = np.repeat(at[own], n[own]) + np.arange(len(text)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                place = words.first[text] + start
+                name, other, doc, key = name[place], other[place], docs[begin + text], keys[begin + text]
+                order = np.lexsort([start, key, doc, other, name])
+                new = np.r_[True, (name[order][1:] != name[order][:-1]) | (other[order][1:] != other[order][:-1])][: len(order)]
+                first, later = order[new], np.sort(place[order[~new]])
+                # What the settled leaves cover, as spans of words that do not touch within their text.
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, later, 1)
+                np.add.at(change, later + window, -1)
+                covered = np.cumsum(change)[:-1] > 0
+                edge = np.zeros(len(words) + 1, bool)
+                edge[words.first] = True
+                opens = np.flatnonzero(covered & np.r_[True, ~covered[:-1] | edge[1:-1]][: len(covered)])
+                shuts = np.flatnonzero(covered & np.r_[~covered[1:] | edge[1:-1], True][: len(covered)]) + 1
+                of = np.searchsorted(words.first, opens, side="right") - 1
+                none = np.zeros(len(opens), np.int64)
+                yield _leaves(name[first].view(np.int64), other[first].view(np.int64), doc[first], key[first], start[first], start[first])
+                yield _leaves(none, none, none, keys[begin + of], opens - words.first[of], shuts - words.first[of])
+
+    by = found.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
+    leaves = texts.select("key", last, "z").join(by, "key").mapInArrow(run, "name long, other long, id long, key long, start int, stop int")
+    leaves = pin(leaves, "leaves")
+    across = leaves.filter("start = stop")
+    nodes = across.groupBy("name", "other").agg(F.min(F.struct("id", "key", "start")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "other", "earliest")
+    more = across.join(pin(nodes, "nodes"), ["name", "other"]).filter(F.struct("id", "key", "start") != F.col("earliest"))
+    return leaves.filter("start < stop").select("key", "start", "stop").union(more.select("key", "start", (F.col("start") + window).alias("stop")))
+
+
+def _leaves(name: np.ndarray, other: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Leaves with start = stop, or spans of words without a name."""
+    return pa.RecordBatch.from_arrays([*map(pa.array, (name, other, doc, key)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["name", "other", "id", "key", "start", "stop"])
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """(key, at, mask): a mask's bit i is set where the window that starts at word at + i is a repeat."""
+    """(key, start, stop): spans of words that repeats cover; spans may overlap."""
     every = pin(_runs_of(texts, window, gram), "all-runs")
     shared = pin(every.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")  # written, so that the join below can split a frequent gram
     found = pin(every.join(shared, "gram").select("gram", "key", "at", "n", (F.col("size") > limit).alias("large")), "runs")
@@ -314,7 +338,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     if not 0 < gram <= window <= gram + 50:
         raise ValueError("gram is 1 to window words, and at most 50 words less")
     texts, rows = bucketed(docs)
-    masks = pin(repeats(texts, window, gram, limit), "repeats").groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
+    masks = pin(repeats(texts, window, gram, limit), "repeats").groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,12 +348,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
                     a, b = int(words.first[k]), int(words.first[k + 1])
                     change = np.zeros(b - a + 1, np.int64)
                     for hit in batch.column(3)[begin + k].as_py() or ():
-                        at, mask = hit["at"], hit["mask"]
-                        while mask:
-                            low = (mask & -mask).bit_length() - 1
-                            change[at + low] += 1
-                            change[at + low + window] -= 1
-                            mask &= mask - 1
+                        change[hit["start"]] += 1
+                        change[hit["stop"]] -= 1
                     gone = np.cumsum(change)[:-1] > 0
                     edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     left = words.data[words.start[a] : words.start[b]][np.repeat(~gone, np.diff(words.start[a : b + 1]))].tobytes()[:-1]
