@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import queries_long
 from .functions import REGISTRY
 from .operators import backtest as bt
+from .operators import joins
 from .operators import market_calendar as cal
 from .operators import timeframes as tf
 from .plans import response
@@ -484,8 +485,53 @@ add("session_gap", lambda s, d: tf.gap_sessions(s.read.parquet(f"{d}/events.parq
     "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 90 MINUTE THEN 1 ELSE 0 END AS n FROM events) SELECT symbol, CAST(sum(n) AS BIGINT) AS sessions FROM e GROUP BY 1")
 add("session_profile", lambda s, d: shown(cal.session_profile(hourly(s, d)).drop("symbol")),
     f"{TYPED}, p AS (SELECT CAST({MINUTE} AS BIGINT) AS minute, count(*) AS bars, sum(volume) AS volume FROM bars GROUP BY 1) SELECT minute, bars, volume, minute - coalesce(lag(minute) OVER (ORDER BY minute), -1) - 1 AS empty_before FROM p")
-add("compare_daily", lambda s, d: shown(cal.compare_daily(tf.resample(hourly(s, d), "daily"), src.event_bars(s, d, 1440)).drop("symbol")),
-    f"WITH bars AS ({intraday_sql(1440)}) SELECT CAST(ts AS DATE) AS date, {rnd('close')} AS close_a, {rnd('close')} AS close_b, 0.0 AS diff FROM bars")
+
+
+def _compare(spark, d):
+    """Daily closes of all orders against those of urgent ones only, which lack days."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    bars = lambda rows: src.bars_from(rows, F.lit("ALL"), F.col("o_orderdate"), F.col("o_totalprice"), [F.col("o_orderkey")])
+    late = bars(orders.filter("o_orderpriority = '1-URGENT' and o_orderkey % 3 <> 0"))
+    return shown(cal.compare_daily(bars(orders.filter("o_custkey % 2 = 0")), late).drop("symbol"))
+
+
+add("compare_daily", _compare,
+    "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS c FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1), "
+    "b AS (SELECT CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0 GROUP BY 1) "
+    f"SELECT date, {rnd('a.c')} AS close_a, {rnd('b.c')} AS close_b, {rnd('a.c - b.c')} AS diff FROM a FULL JOIN b USING (date)")
+
+
+def _asof_events(spark, d):
+    """Each purchase with its user's last view before it, at most 30 days old."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "value", "event_type")
+    buys, views = (e.filter(F.col("event_type") == t).drop("event_type") for t in ("purchase", "view"))
+    found = joins.asof(buys, views, ["user_id"], "ts", "ts", "view_", ties=["event_id"], tolerance=30 * 86_400_000_000)
+    return shown(found.select("event_id", "user_id", "value", F.col("view_event_id"), "view_value"), 2)
+
+
+add("asof_last_view", _asof_events,
+    "WITH b AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view') "
+    "SELECT b.event_id, b.user_id, round(b.value, 2) + 0.0 AS value, CASE WHEN b.ts - v.ts <= INTERVAL 30 DAY THEN v.event_id END AS view_event_id, CASE WHEN b.ts - v.ts <= INTERVAL 30 DAY THEN round(v.value, 2) + 0.0 END AS view_value "
+    "FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts")
+add("asof_bars", lambda s, d: shown(joins.asof(src.event_bars(s, d, 60, True), s.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'").select("event_id", "ts", "value"), [], "ts", "ts", "error_", ties=["event_id"], strict=True, how="inner").select("symbol", "ts", "close", "error_event_id", "error_value")),
+    f"WITH bars AS ({intraday_sql(60, True)}), e AS (SELECT event_id, ts, value FROM events WHERE event_type = 'error') SELECT symbol, strftime(bars.ts, '%Y-%m-%d %H:%M') AS ts, {rnd('close')} AS close, event_id AS error_event_id, {rnd('value')} AS error_value FROM bars ASOF JOIN e ON bars.ts > e.ts")
+
+
+def _line_windows(spark, d):
+    """Orders placed while a line of the same supplier nation's customers was on its way: orders within ten days before a shipment to their customer's nation."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    customers = F.broadcast(read("nation").select("n_nationkey", "n_name"))
+    orders = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.to_date("o_orderdate").alias("date"), "o_orderkey")
+    big = read("lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    spans = big.select(F.col("c_nationkey").alias("nation"), F.date_sub(F.to_date("l_shipdate"), 10).alias("opens"), F.to_date("l_shipdate").alias("ships"))
+    pairs = joins.within(orders, spans, ["nation"], "date", "opens", "ships")
+    return shown(pairs.groupBy("nation").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("o_orderkey").alias("orders")).join(customers, F.col("nation") == F.col("n_nationkey")).select("n_name", "pairs", "orders"))
+
+
+add("interval_shipments", _line_windows,
+    "WITH o AS (SELECT c_nationkey AS n, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "s AS (SELECT c_nationkey AS n, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50 AND l_discount >= 0.1) "
+    "SELECT n_name, count(*) AS pairs, count(DISTINCT o_orderkey) AS orders FROM o JOIN s ON o.n = s.n AND o.d BETWEEN s.d - 10 AND s.d JOIN nation ON o.n = n_nationkey GROUP BY 1")
 
 # Simulator
 
@@ -537,10 +583,26 @@ add("bt_fine_bars", lambda s, d: shown_trades(bt.simulate(src.event_bars(s, d, 6
 
 _MONTHS = "m AS (SELECT CAST(range AS DATE) AS m FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH))"
 _NTH = "m + CAST((12 - dayofweek(m)) % 7 AS INT)"  # first Friday
-add("cal_opex", lambda s, d: cal.event_dates(s, "opex", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 14 AS date FROM m")
-add("cal_nfp", lambda s, d: cal.event_dates(s, "nfp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} AS date FROM m")
-add("cal_vix", lambda s, d: cal.event_dates(s, "vix_exp", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 12 AS date FROM m")
-add("cal_quad_witching", lambda s, d: cal.event_dates(s, "quad_witching", "1995-01-01", "2001-12-31"), f"WITH {_MONTHS} SELECT {_NTH} + 14 AS date FROM m WHERE month(m) IN (3, 6, 9, 12)")
+
+
+def order_days(spark, d):
+    """Orders and their value by day."""
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("value"))
+
+
+_DAYS = "days AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS orders, sum(o_totalprice) AS value FROM orders GROUP BY 1)"
+
+
+def _event_days(name: str, event: str, day: str, months: str = "") -> None:
+    """Orders on the days of one event."""
+    add(name, lambda s, d: shown(order_days(s, d).join(F.broadcast(cal.event_dates(s, event, "1992-01-01", "2001-12-31")), "date"), 2),
+        f"WITH {_MONTHS.replace('1995', '1992')}, {_DAYS}, e AS (SELECT {day} AS date FROM m{months}) SELECT date, orders, {rnd('value', 2)} AS value FROM days JOIN e USING (date)")
+
+
+_event_days("cal_opex", "opex", f"{_NTH} + 14")
+_event_days("cal_nfp", "nfp", _NTH)
+_event_days("cal_vix", "vix_exp", f"{_NTH} + 12")
+_event_days("cal_quad_witching", "quad_witching", f"{_NTH} + 14", " WHERE month(m) IN (3, 6, 9, 12)")
 
 
 def _holidays_sql(first: int, last: int) -> str:
@@ -556,9 +618,12 @@ def _holidays_sql(first: int, last: int) -> str:
         "black_friday": nth(11, 4, 4) + " + 1", "christmas_eve": before(on(12, 24)), "new_year_eve": before(on(12, 31)),
     }
     days = " UNION ALL ".join(f"SELECT y, '{name}' AS holiday, {sql} AS date FROM e" for name, sql in rule.items())
-    kinds = [("US", n, None) for n in cal.US_CLOSED] + [("US", *x) for x in cal.US_EARLY.items()] + [("EU", n, None) for n in cal.EU_CLOSED] + [("EU", *x) for x in cal.EU_EARLY.items()]
-    kept = ", ".join(f"('{r}', '{n}', '{'early_close' if t else 'closed'}', {repr(t) if t else 'NULL'})" for r, n, t in kinds)
-    who = ", ".join(f"('{r}', '{x}')" for r, names in cal.EXCHANGES.items() for x in names)
+    shut = "new_year mlk_day presidents_day good_friday memorial_day juneteenth independence_day labor_day thanksgiving christmas"
+    kept = ", ".join(f"('US', '{n}', 'closed', NULL)" for n in shut.split()) + (
+        ", ('US', 'independence_day_eve', 'early_close', '13:15'), ('US', 'black_friday', 'early_close', '13:15'), ('US', 'christmas_eve', 'early_close', '13:15'), ('US', 'new_year_eve', 'early_close', '13:15')"
+        ", ('EU', 'new_year', 'closed', NULL), ('EU', 'good_friday', 'closed', NULL), ('EU', 'christmas', 'closed', NULL), ('EU', 'christmas_eve', 'early_close', '12:30'), ('EU', 'new_year_eve', 'early_close', '12:30')"
+    )
+    who = "('US', 'CME'), ('US', 'CBOT'), ('US', 'NYMEX'), ('US', 'COMEX'), ('US', 'ICEUS'), ('EU', 'ICEEUR'), ('EU', 'EUREX')"
     return (
         f"y AS (SELECT range AS y, range % 19 AS a, range // 100 AS b, range % 100 AS c FROM range({first}, {last + 1})), "
         "g AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM y), "
@@ -570,25 +635,63 @@ def _holidays_sql(first: int, last: int) -> str:
     )
 
 
-add("cal_holidays", lambda s, d: cal.holidays(s, 1995, 2001), f"WITH {_holidays_sql(1995, 2001)} SELECT * FROM h")
+add("cal_holidays", lambda s, d: shown(order_days(s, d).join(F.broadcast(cal.holidays(s, 1992, 2001)), "date").groupBy("exchange", "holiday", "day_type").agg(F.count(F.lit(1)).alias("days"), F.sum("orders").alias("orders"))),
+    f"WITH {_holidays_sql(1992, 2001)}, {_DAYS} SELECT exchange, holiday, day_type, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN h USING (date) GROUP BY ALL")
 _OBSERVED = "d - CAST(dayofweek(d) = 6 AS INT) + CAST(dayofweek(d) = 0 AS INT)"
-add("cal_fixed_holidays", lambda s, d: cal.holidays(s, 1995, 2030).filter("exchange = 'CME' and holiday in ('juneteenth', 'independence_day', 'christmas')").select("date", "holiday"),
-    f"WITH y AS (SELECT range AS y FROM range(1995, 2031)), r AS (SELECT make_date(y, 6, 19) AS d, 'juneteenth' AS holiday FROM y UNION ALL SELECT make_date(y, 7, 4), 'independence_day' FROM y UNION ALL SELECT make_date(y, 12, 25), 'christmas' FROM y) SELECT {_OBSERVED} AS date, holiday FROM r")
+
+
+def _around_holidays(spark, d):
+    """Orders in the days from three before to two after a holiday, by how many days off."""
+    kept = cal.holidays(spark, 1992, 2001).filter("exchange = 'CME' and holiday in ('juneteenth', 'independence_day', 'christmas')")
+    spans = kept.select("holiday", F.col("date").alias("day"), F.date_sub("date", 3).alias("opens"), F.date_add("date", 2).alias("closes"))
+    pairs = joins.within(order_days(spark, d), spans, [], "date", "opens", "closes")
+    return shown(pairs.groupBy("holiday", F.datediff("date", "day").alias("off")).agg(F.count(F.lit(1)).alias("days"), F.sum("orders").alias("orders")))
+
+
+add("cal_fixed_holidays", _around_holidays,
+    f"WITH y AS (SELECT range AS y FROM range(1992, 2002)), r AS (SELECT make_date(y, 6, 19) AS d, 'juneteenth' AS holiday FROM y UNION ALL SELECT make_date(y, 7, 4), 'independence_day' FROM y UNION ALL SELECT make_date(y, 12, 25), 'christmas' FROM y), "
+    f"h AS (SELECT {_OBSERVED} AS day, holiday FROM r), {_DAYS} SELECT holiday, CAST(date - day AS BIGINT) AS off, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN h ON date BETWEEN day - 3 AND day + 2 GROUP BY ALL")
 add("cal_day_type", lambda s, d: cal.annotate_holidays(daily(s, d).select(F.to_date("ts").alias("date")), s, "CME"),
     f"WITH {_holidays_sql(1990, 2060)}, one AS (SELECT date, arg_min(holiday, day_type) AS holiday, min(day_type) AS day_type, min(close_time) AS close_time FROM h WHERE exchange = 'CME' GROUP BY date), "
     "b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) "
-    f"SELECT b.date, holiday, coalesce(day_type, 'regular') AS day_type, CASE WHEN day_type = 'closed' THEN NULL ELSE coalesce(close_time, '{cal.REGULAR_CLOSE}') END AS close_time, "
+    f"SELECT b.date, holiday, coalesce(day_type, 'regular') AS day_type, CASE WHEN day_type = 'closed' THEN NULL ELSE coalesce(close_time, '17:00') END AS close_time, "
     "isodow(b.date) < 6 AND coalesce(day_type, 'regular') <> 'closed' AS is_trading_day FROM b LEFT JOIN one ON b.date = one.date")
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
+#: (exchange, first symbol, electronic session, regular session), in Eastern Time.
+_HOURS = """('CME', 'ES', '18:00', '17:00', '09:30', '16:15'), ('CBOT', 'YM', '18:00', '17:00', '09:30', '16:15'), ('NYMEX', 'CL', '18:00', '17:00', '09:00', '14:30'),
+    ('COMEX', 'GC', '18:00', '17:00', '08:20', '13:30'), ('CME', '6E', '18:00', '17:00', '08:20', '16:00'), ('CBOT', 'ZN', '18:00', '17:00', '08:20', '15:00'), ('CBOT', 'ZC', '20:00', '14:20', '09:30', '14:20'),
+    ('EUREX', 'FDAX', '19:15', '16:00', '03:00', '11:30'), ('ICEEUR', 'BRN', '20:00', '17:00', '03:00', '14:30'), ('ICEUS', 'KC', '04:15', '13:25', '04:15', '13:25')"""
+
+
+def _sessions(spark, d):
+    """Events inside each instrument's sessions: a session is an interval on every day of the table, over midnight where it closes before it opens."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("ts", "value")
+    known = ins.sessions(spark).filter("symbol in ('ES', 'YM', 'CL', 'GC', '6E', 'ZN', 'ZC', 'FDAX', 'BRN', 'KC')")
+    days = rows.select(F.explode(F.array(F.to_date("ts"), F.date_sub(F.to_date("ts"), 1))).alias("day")).distinct()
+    at = lambda day, clock: F.to_timestamp_ntz(F.concat_ws(" ", day, F.col(clock)), F.lit("yyyy-MM-dd HH:mm"))
+    spans = days.join(F.broadcast(known)).select("exchange", "symbol", "session", at(F.col("day"), "opens").alias("begin"), at(F.date_add("day", F.when(F.col("closes") <= F.col("opens"), 1).otherwise(0)), "closes").alias("finish"))  # 10 instruments
+    pairs = joins.within(rows, spans, [], "ts", "begin", "finish", closed=False)
+    return shown(pairs.groupBy("exchange", "symbol", "session").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")), 2)
+
+
+add("session_table", _sessions,
+    f"WITH w(exchange, symbol, eo, ec, ro, rc) AS (VALUES {_HOURS}), s AS (SELECT exchange, symbol, 'ETH' AS session, eo AS opens, ec AS closes FROM w UNION ALL SELECT exchange, symbol, 'RTH', ro, rc FROM w), "
+    "e AS (SELECT strftime(ts, '%H:%M') AS clock, value FROM events) SELECT exchange, symbol, session, count(*) AS n, round(sum(value), 2) + 0.0 AS value "
+    "FROM s JOIN e ON CASE WHEN closes > opens THEN clock >= opens AND clock < closes ELSE clock >= opens OR clock < closes END GROUP BY ALL")
+
+
+def _catalogue(spark, d):
+    """Order days by kind of event: the catalogue's category, impact and time joined to the dates that follow from rules."""
+    dates = cal.events(spark, 1992, 2001).select("date", "event")
+    kinds = ins.event_catalogue(spark).select("event", "category", "impact", "time")
+    return shown(order_days(spark, d).join(F.broadcast(dates), "date").join(F.broadcast(kinds), "event").groupBy("event", "category", "impact", "time").agg(F.count(F.lit(1)).alias("days"), F.sum("orders").alias("orders")))
 
 
-add("session_table", lambda s, d: ins.sessions(s),
-    f"SELECT *, CAST((date_diff('minute', CAST('2000-01-01 ' || opens AS TIMESTAMP), CAST('2000-01-01 ' || closes AS TIMESTAMP)) + 1440) % 1440 AS INT) AS minutes FROM (VALUES {_values(ins.session_rows())}) t(symbol, exchange, session, opens, closes)")
-add("event_catalogue", lambda s, d: ins.event_catalogue(s).groupBy("category", "impact").agg(F.count(F.lit(1)).alias("n"), F.count("time").alias("timed")),
-    "SELECT category, impact, count(*) AS n, count(nullif(time, '-')) AS timed FROM (VALUES " + _values(x.split(maxsplit=4) for x in ins.EVENTS.strip().splitlines()) + ") t(event, category, impact, time, schedule) GROUP BY ALL")
+add("event_catalogue", _catalogue,
+    f"WITH {_MONTHS.replace('1995', '1992')}, {_DAYS}, k(event, category, impact, time) AS (VALUES ('nfp', 'macro', 'high', '08:30'), ('opex', 'options', 'medium', '16:00'), ('quad_witching', 'options', 'high', '16:00'), ('vix_expiration', 'options', 'medium', '09:00')), "
+    f"f AS (SELECT {_NTH} AS f, month(m) IN (3, 6, 9, 12) AS q FROM m), e AS (SELECT f AS date, 'nfp' AS event FROM f UNION ALL SELECT f + 14, CASE WHEN q THEN 'quad_witching' ELSE 'opex' END FROM f UNION ALL SELECT f + 12, 'vix_expiration' FROM f) "
+    "SELECT event, category, impact, time, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders FROM days JOIN e USING (date) JOIN k USING (event) GROUP BY ALL")
 add("session_of_symbol", lambda s, d: shown(tf.session_filter(hourly(s, d), *ins.sessions_of("CL")["RTH"]).drop("symbol")),
     f"WITH bars AS ({intraday_sql(60)}) SELECT strftime(ts, '%Y-%m-%d %H:%M') AS ts, {', '.join(f'{rnd(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars WHERE hour(ts) * 60 + minute(ts) BETWEEN 540 AND 869")
 _OPEX = "date_trunc('month', d) + INTERVAL 14 DAY"
