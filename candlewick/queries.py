@@ -21,6 +21,8 @@ from .plans import response
 from .plans.query import plan, run_query
 from .sources import bars as src
 from .sources import instruments as ins
+from .sources import versions
+from .sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +109,25 @@ def _upsert(spark, d):
 
 add("upsert", _upsert, f"WITH bars AS ({DAILY}) SELECT {TS}, open, high, low, close, volume * CASE WHEN ts >= TIMESTAMP '2001-01-01' THEN 2 ELSE 1 END AS volume FROM bars")
 
+
+
+def _versioned(version: int | None = None):
+    """Bars by priority as a versioned table; last year's come again with doubled volume, and that batch twice."""
+
+    def query(spark, d):
+        root, by_priority = shared_path(spark, "bars"), src.order_bars(spark, d, True)
+        versions.merge(spark, root, by_priority, ("days", 0))
+        again = by_priority.filter("ts >= timestamp_ntz'2001-01-01'").withColumn("volume", F.col("volume") * 2)
+        for _ in range(2):
+            versions.merge(spark, root, again, ("days", 1), {"days": "2001"})
+        return shown(versions.read(spark, root, version=version))
+
+    return query
+
+
+add("versioned_upsert", _versioned(), f"WITH bars AS ({DAILY_MULTI}) SELECT symbol, {TS}, open, high, low, close, volume * CASE WHEN ts >= TIMESTAMP '2001-01-01' THEN 2 ELSE 1 END AS volume FROM bars")
+add("versioned_before", _versioned(1), f"WITH bars AS ({DAILY_MULTI}) SELECT symbol, {TS}, open, high, low, close, volume FROM bars")
+
 # Timeframes
 
 BUCKETS = {

@@ -96,18 +96,19 @@ def append_bars(spark: SparkSession, root: str, new: DataFrame, timeframe: str =
     """Upsert ``new`` into the table at ``root``: only the partitions of its symbols are read and rewritten.
 
     The merged rows go to a folder beside the table first, since Spark cannot
-    overwrite what it is reading.
+    overwrite what it is reading; it is deleted afterwards. A job that is killed in between leaves
+    that folder, and may leave symbols of both states: ``versions.merge`` is all or nothing.
     """
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    del jvm
-    if not exists:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
         return write_bars(upsert(new.limit(0), new), root, timeframe, asset_type)
     symbols = new.select("symbol").distinct()
     old = clean(spark.read.parquet(root).filter((F.col("timeframe") == timeframe) & (F.col("asset_type") == asset_type)).join(symbols, "symbol", "left_semi"))
     side = f"{root.rstrip('/')}.merge-{uuid.uuid4().hex}"
     upsert(old, new).write.parquet(side)
     write_bars(spark.read.parquet(side), root, timeframe, asset_type)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(side), True)
 
 
 def is_newer(mark: str | None, remote: str) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import bars as source
+from ..sources import versions
 
 
 def stream_bars(rows: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
@@ -55,11 +56,14 @@ def stream_ema(bars: DataFrame, n: int) -> DataFrame:
 
 def follow_files(spark, folder: str, root: str, checkpoint: str, timeframe: str = "1d", asset_type: str = "futures") -> None:
     """Upsert every new Parquet file of bars in ``folder`` once, then stop."""
+    _follow(spark, folder, checkpoint, lambda batch, _: source.append_bars(batch.sparkSession, root, batch, timeframe, asset_type))
+
+
+def follow_versions(spark, folder: str, root: str, checkpoint: str, name: str = "files") -> None:
+    """The same into a versioned table: a batch is all or nothing, and one that is run again after a failure is known by its number under ``name``."""
+    _follow(spark, folder, checkpoint, lambda batch, number: None if batch.isEmpty() else versions.merge(batch.sparkSession, root, batch, (name, number)))
+
+
+def _follow(spark, folder: str, checkpoint: str, each) -> None:
     stream = spark.readStream.schema(source.SCHEMA).parquet(folder)
-    query = (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: source.append_bars(batch.sparkSession, root, batch, timeframe, asset_type))
-        .start()
-    )
-    query.awaitTermination()
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
