@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from . import queries_long
 from .functions import REGISTRY
+from .functions.long_series import indicators
 from .operators import backtest as bt
-from .operators import joins
+from .operators import joins, rollups
 from .operators import market_calendar as cal
 from .operators import timeframes as tf
 from .plans import response
@@ -22,7 +23,7 @@ from .plans.query import plan, run_query
 from .sources import bars as src
 from .sources import instruments as ins
 from .sources import versions
-from .sources.shared import shared_path
+from .sources.shared import pin, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,7 +98,8 @@ ask(
 
 add("scan_bars", lambda s, d: shown(daily(s, d).drop("symbol")), f"WITH bars AS ({DAILY}) SELECT {TS}, open, high, low, close, volume FROM bars")
 add("scan_bars_multi", lambda s, d: shown(src.order_bars(s, d, True)), f"WITH bars AS ({DAILY_MULTI}) SELECT symbol, {TS}, open, high, low, close, volume FROM bars")
-add("ohlc_json", lambda s, d: src.ohlc_json(daily(s, d)))
+add("ohlc_json", lambda s, d: src.ohlc_json(daily(s, d)),
+    f"WITH bars AS ({DAILY}) SELECT '{{\"date\":\"' || strftime(ts, '%Y-%m-%d') || '\",\"open\":' || open || ',\"high\":' || high || ',\"low\":' || low || ',\"close\":' || close || ',\"volume\":' || CAST(volume AS BIGINT) || '}}' AS value FROM bars")
 
 
 def _upsert(spark, d):
@@ -554,6 +556,58 @@ add("interval_shipments", _line_windows,
     "s AS (SELECT c_nationkey AS n, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50 AND l_discount >= 0.1) "
     "SELECT n_name, count(*) AS pairs, count(DISTINCT o_orderkey) AS orders FROM o JOIN s ON o.n = s.n AND o.d BETWEEN s.d - 10 AND s.d JOIN nation ON o.n = n_nationkey GROUP BY 1")
 
+# Screens, correlations and sketches
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+KINDS = ("view", "click", "purchase", "signup", "error")
+
+
+def pairs_sql(table: str, series: str, day: str, value: str, names) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return (
+        f"WITH v AS (SELECT {series} AS s, {day} AS d, avg({value}) AS v FROM {table} WHERE {series} IN ({listed}) GROUP BY 1, 2) "
+        "SELECT a.s AS a, b.s AS b, count(*) AS n, round(corr(a.v, b.v), 6) + 0.0 AS correlation FROM v a JOIN v b ON a.d = b.d AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2"
+    )
+
+
+add("correlation_matrix", lambda s, d: shown(rollups.correlations(s.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", "o_orderdate", "o_totalprice", PRIORITIES), 6), pairs_sql("orders", "o_orderpriority", "o_orderdate", "o_totalprice", PRIORITIES))
+add("correlation_events", lambda s, d: shown(rollups.correlations(s.read.parquet(f"{d}/events.parquet").withColumn("h", F.date_trunc("hour", "ts")), "event_type", "h", "value", KINDS), 6), pairs_sql("events", "event_type", "date_trunc('hour', ts)", "value", KINDS))
+add("screener", lambda s, d: shown(rollups.screen(indicators(src.event_bars(s, d, 60, True), {"m": ("sma", "close", 20), "top": ("donchian_upper", 10), "before": ("prev", "close", 1)}), {"low": F.col("close") < F.col("m") * 2, "inside": F.col("high") <= F.col("top")})),
+    f"WITH bars AS ({intraday_sql(60, True)}), w AS (SELECT symbol, ts, close < 2 * CASE WHEN count(close) OVER a = 20 THEN avg(close) OVER a END AS low, high <= CASE WHEN count(high) OVER b = 10 THEN max(high) OVER b END AS inside FROM bars "
+    "WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) "
+    "SELECT symbol, strftime(max(ts), '%Y-%m-%d %H:%M') AS ts, count(*) FILTER (low) AS low_bars, count(*) FILTER (inside) AS inside_bars, count(*) AS bars FROM w GROUP BY symbol HAVING arg_max(coalesce(low, false), ts) AND arg_max(coalesce(inside, false), ts)")
+
+
+def _rolled(spark, d):
+    """Minute sketches of events rolled up to months: counts and extremes are exact, quantiles and users are held against the exact ones."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    minutes = pin(rollups.sketches(e, ["event_type"], "ts", "value", "user_id"), "sketches")
+    found = rollups.estimates(rollups.rolled_up(rollups.rolled_up(minutes, ["event_type"], "day"), ["event_type"], "month"), {"median": 0.5, "q90": 0.9})
+    own = e.withColumn("bucket", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    below = lambda name: F.sum((F.col("value") <= F.col(name)).cast("int")) / F.count("value")
+    held = own.join(found, ["event_type", "bucket"]).groupBy("event_type", F.col("bucket").alias("ts")).agg(
+        F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("mean").alias("mean"),
+        (F.abs(below("median") - 0.5) < 0.03).alias("median_near"), (F.abs(below("q90") - 0.9) < 0.03).alias("q90_near"), (F.abs(F.first("items") / F.countDistinct("user_id") - 1) < 0.05).alias("users_near"),
+    )
+    return shown(held, 3)
+
+
+add("sketch_rollup", _rolled,
+    f"SELECT event_type, strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M') AS ts, count(value) AS n, {rnd('min(value)', 3)} AS low, {rnd('max(value)', 3)} AS high, {rnd('avg(value)', 3)} AS mean, true AS median_near, true AS q90_near, true AS users_near FROM events GROUP BY event_type, date_trunc('month', ts)")
+
+
+def _through_text(spark, d):
+    """Bars written as the two kinds of text files and read back: days by priority, minutes of all events."""
+    days, minutes = src.order_bars(spark, d, True), src.event_bars(spark, d, 1)
+    day_files, minute_files = shared_path(spark, "days"), shared_path(spark, "minutes")
+    days.filter("symbol = '1-URGENT'").select(F.date_format("ts", "MM/dd/yyyy"), *src.PRICES, F.lit(0)).write.csv(day_files)
+    minutes.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *src.PRICES).write.csv(minute_files)
+    return shown(src.read_daily_csv(spark, day_files, "urgent").unionByName(src.read_minute_csv(spark, minute_files, "events")))
+
+
+add("read_csv", _through_text,
+    f"WITH a AS ({DAILY_MULTI}), b AS ({intraday_sql(1)}), bars AS (SELECT 'URGENT' AS symbol, ts, open, high, low, close, volume FROM a WHERE symbol = '1-URGENT' UNION ALL SELECT 'EVENTS', ts, open, high, low, close, volume FROM b) SELECT symbol, {PLAIN} FROM bars")
+
 # Simulator
 
 STRATEGIES = {
