@@ -67,10 +67,8 @@ def _cci(ctx, n=None):
     n = _n(n, 20)
     tp = ctx.column((ctx.get("high") + ctx.get("low") + ctx.get("close")) / 3)
     middle = ctx.column(mean(ctx, tp, n))
-    lags = [tp if i == 0 else F.lag(tp, i).over(ctx.rows) for i in range(n)]
-    away = F.abs(lags[0] - middle)
-    for x in lags[1:]:
-        away = away + F.abs(x - middle)
+    values = ctx.column(F.collect_list(tp).over(ctx.last(n)), "list")
+    away = F.when(middle.isNotNull(), F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - middle)))
     return _out(divide(tp - middle, away / n * 0.015))
 
 

@@ -33,9 +33,10 @@ def lowest(ctx, x, n):
 
 
 def weighted(ctx, x, n):
-    """Linear weights, the newest bar heaviest: a sum of lags, missing if one of them is."""
-    terms = [F.lag(x, n - k).over(ctx.rows) * k if k < n else x * n for k in range(1, n + 1)]
-    return sum(terms[1:], terms[0]) / (n * (n + 1) / 2)
+    """Linear weights, the newest bar heaviest; missing if one of the last n is. One frame, whatever n is."""
+    values = F.collect_list(x).over(ctx.last(n))
+    parts = F.transform(values, lambda v, i: v * (i + 1))
+    return full(ctx, x, n, lambda w: F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / (n * (n + 1) / 2))
 
 
 @function("prev(col, n=1)", "value n bars before", "lag")
