@@ -31,7 +31,8 @@ of their sets of shingles (five words, as XXH64 values) is 0.8 or more. At that
 similarity fingerprints are expected to differ by about 10 of 64 bits, many pairs
 by more; at such a radius the bands of bits hardly part the rows and nearly every
 pair would be compared. So cells
-are MinHash bands, and each pair is confirmed on the sets themselves. Texts
+are MinHash bands, and each pair is confirmed on the sets themselves: first each member of a cell
+against one of them, then, where a cell still holds several components, tile against tile. Texts
 with one set are one row; texts without words link with one another.
 """
 
@@ -58,6 +59,9 @@ TILE = 2048
 SIMILARITY = 0.8
 COPY_SHINGLE = 5
 BANDS, ROWS = 20, 4
+# Shingles of all texts of a tile together, so that long texts make tiles of few.
+TILE_SHINGLES = 1 << 20
+COPY_TILE = 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -261,6 +265,85 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u string, v string")
 
 
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (u, v) between n things: at most n - 1 links."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == before).all():
+            child = np.flatnonzero(label != np.arange(n))
+            return child, label[child]
+
+
+def shared_counts(owner: np.ndarray, hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each of the ``left`` sets shares with each of the ``right`` ones; ``owner`` is the set of each hash."""
+    _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    kept = times[column] > 1  # what one set has alone is shared with none
+    _, column = np.unique(column[kept], return_inverse=True)
+    owner, n = owner[kept], int(max(left.max(), right.max())) + 1
+    counts = np.zeros((len(left), len(right)))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        own = slice(*np.searchsorted(column, [at, at + 2048]))
+        has = np.zeros((n, 2048), np.float32)
+        has[owner[own], column[own] - at] = 1
+        counts += has[left] @ has[right].T
+    return counts
+
+
+def cell_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join components within cells: ``members`` (band, key, tiles, node, size, root) in tiles, every pair of two roots compared exactly.
+
+    A unit is a cell and a pair of its tiles, worked out from a sorted stream; it returns a spanning forest of its links, never all of them.
+    """
+    t, last = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.col("tiles") - 1
+    unit = lambda a, b, right: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(right).alias("right"))
+    units = F.concat(F.transform(F.sequence(t, last), lambda b: unit(t, b, False)), F.transform(F.filter(F.sequence(F.lit(0), t), lambda a: a < t), lambda a: unit(a, t, True)))
+    rows = members.select("band", "key", "node", "root", F.explode(units).alias("x")).select("band", "key", "x.a", "x.b", "x.right", "node", "root")
+    keys = ["band", "key", "a", "b"]
+
+    def links(node: list[str], root: np.ndarray, right: np.ndarray, lists: list[np.ndarray]) -> tuple[list[str], list[str]]:
+        sizes = np.array([len(x) for x in lists])
+        one = not right.any()
+        left, other = np.flatnonzero(~right), np.arange(len(node)) if one else np.flatnonzero(right)
+        if not len(left) or not len(other):
+            return [], []
+        both = shared_counts(np.repeat(np.arange(len(node)), sizes), np.concatenate(lists), left, other)
+        near = (both >= similarity * (sizes[left][:, None] + sizes[other][None, :] - both)) & (root[left][:, None] != root[other][None, :])
+        i, j = np.nonzero(near)
+        child, parent = spanning(left[i], other[j], len(node))
+        return [node[k] for k in child], [node[k] for k in parent]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes, roots, sides, lists = zip(*held)
+            codes = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+            u, v = links(list(nodes), np.array([codes[r] for r in roots]), np.array(sides, bool), list(lists))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+
+        for batch in batches:
+            units = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            rows = zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(4).to_pylist())
+            for k, (this, row) in enumerate(zip(units, rows)):
+                if this != current:
+                    if held:
+                        yield done()
+                    current, held = this, []
+                held.append((*row, batch.column(7)[k].values.to_numpy()))
+        if held:
+            yield done()
+
+    dealt = rows.join(sets, "node").select(*keys, "right", "node", "root", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "u string, v string")
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Fewer rows in an Arrow batch for what is written inside: rows here carry whole sets."""
@@ -273,7 +356,7 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, tile: int = TILE) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, tile: int = COPY_TILE) -> DataFrame:
     """One row per document: doc_id, tkey, root (of the component), component_id; texts link at the Jaccard similarity of their sets of shingles."""
     with small_batches(docs.sparkSession):
         rows = pin(sketches(docs, shingle), "sketches")
@@ -299,15 +382,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     with small_batches(docs.sparkSession):
         edges = pin(confirmed(pairs, sets, similarity), "edges")
     roots = components(edges)
-    # Then, in cells that still hold several components, all pairs between these; a large cell is dealt to many tasks.
-    left = cells.join(roots, "node", "left").select("node", "size", "band", "key", "n", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("band", "key")
-    left = pin(left.join(mixed, ["band", "key"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")), "mixed")
-    a = left.select("band", "key", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"), F.col("node").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
-    b = left.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.col("node").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
-    pairs = a.join(b, ["band", "key", "t"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & alike(F.col("su"), F.col("sv"))).select("u", "v").distinct()
-    with small_batches(docs.sparkSession):
-        more = pin(confirmed(pairs, sets, similarity), "edges")
+    # Then, in cells that still hold several components, all pairs between these, in tiles of a bounded number of texts and shingles.
+    left = cells.join(roots, "node", "left").select("node", "size", "band", "key", F.coalesce("root", "node").alias("root"))
+    mixed = left.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
+    mixed = mixed.filter("mixed").select("band", "key", F.ceil(F.greatest(F.col("n") / tile, F.col("all") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    left = pin(left.join(mixed, ["band", "key"]), "mixed")
+    more = pin(cell_links(left, sets, similarity), "edges")
     if more.limit(1).count():
         roots = components(edges.union(more))
     grouped = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")

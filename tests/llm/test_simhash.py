@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 import xxhash
 
 from candlewick.llm import simhash as sh
@@ -108,3 +111,38 @@ def test_planted_near_copies(spark, make_docs, odd_texts, prose):
         assert [rows[i] for i in range(len(texts))] == want
     assert sorted(x.doc_id for x in cp.near_duplicates_stage(spark, docs, "").collect()) == sorted(set(want))
     assert sh.keep_one_copy(docs.limit(0)).count() == 0
+
+
+def test_counts_of_shared_shingles_and_spanning_links():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 4000, size=n)) for n in (1, 30, 2500, 2500, 3, 900)]
+    owner, hashes = np.repeat(np.arange(6), [len(x) for x in sets]), np.concatenate(sets)
+    left, right = np.array([0, 5]), np.array([1, 2, 3, 4])
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert sh.shared_counts(owner, hashes, left, right).tolist() == want
+    child, parent = sh.spanning(np.array([5, 1, 2, 3]), np.array([1, 2, 1, 4]), 7)
+    assert {*zip(child.tolist(), parent.tolist())} == {(2, 1), (4, 3), (5, 1)}
+
+
+@pytest.mark.parametrize("tile", [5, 1024])
+def test_a_group_whose_members_are_alike_in_part(make_docs, prose, tile, monkeypatch):
+    """Variants of one text at similarities on both sides of 0.8: links must be those of a comparison of all pairs."""
+    monkeypatch.setattr(sh, "TILE_SHINGLES", 600 if tile == 5 else 1 << 20)
+    base, r = prose(77, 120).split(), random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(r.randrange(1, 6)):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(sh.shingles(t, 5).tolist()) for t in texts]
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    found = {x.doc_id: x.component_id for x in sh.near_copies(make_docs(texts), tile=tile).collect()}
+    assert found == {i: min(k for k in range(60) if label[k] == label[i]) for i in range(60)}
+    assert 1 < len(set(label)) < 60
