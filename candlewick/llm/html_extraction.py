@@ -219,7 +219,7 @@ def extract(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD) ->
     # The densest block wins; a marked element counts MARKED times.
     if max(elements.values(), default=0) and max(elements.values()) >= max((sum(outer[a:b]) for a, b in runs), default=0):
         kept = [text for a, b in between(inner, threshold, max(width, 1)) for (text, _, _), w in zip(rows[a:b], inner[a:b]) if w]
-        return "\n\n".join(kept)
+        return "\n\n".join(kept or [text for text, _, mark in rows if text and mark])
     kept = [text for a, b in runs for text, _, mark in rows[a:b] if text and not mark]
     return "\n\n".join(kept or [text for (text, _, _), w in zip(rows, outer) if w])
 

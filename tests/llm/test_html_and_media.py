@@ -124,3 +124,8 @@ def test_a_very_long_page():
 
     page = "<body><article>" + "".join(f"<p>paragraph number {i} of a long page</p>" for i in range(20000)) + "</article></body>"
     assert extract(page).count("\n\n") == 19999
+
+
+@pytest.mark.parametrize(("page", "text"), [("<article><p>Yes.</p></article>", "Yes."), ("<nav><a href=x>Home</a></nav><main><p>No</p></main><footer>All rights reserved by us</footer>", "No"), ("<p>ok</p>", "ok")])
+def test_short_pages_are_kept_whole(page, text):
+    assert he.extract(page) == text
