@@ -42,6 +42,28 @@ def test_finer_bars_order_a_bar(make_bars):
     assert trades(make_bars(BARS), late, stop_loss=3, take_profit=2) == [(2, 100, 2, 97, -3, "stop", 0)]
 
 
+def test_finer_bars_are_rows_of_their_own(spark, make_bars):
+    """However many finer bars a bar has, a batch of the simulation holds a bounded number of rows of plain values."""
+    hours = [(100, 103, 100, 102, 1)] * 9 + [(102, 102, 96, 97, 1), (100, 120, 90, 97, 1)]
+    fine = make_bars(hours, start=dt.datetime(2024, 1, 2, 9), minutes=60).unionByName(make_bars([(1, 500, 1, 1, 1)], start=dt.datetime(2024, 1, 9, 9)))
+    fine = fine.unionByName(make_bars([(1, 500, 1, 1, 1)], "U", dt.datetime(2024, 1, 2, 9)))
+    strategy = bt.Strategy("close == 100", stop_loss=3, take_profit=19)
+    rows = bt.prepare(make_bars(BARS), strategy, "daily", fine)
+    assert not any(f.dataType.typeName() in ("array", "map", "struct") for f in rows.schema)
+    assert rows.count() == len(BARS) + fine.count()
+    want = [(2, 100, 2, 97, -3, "stop", 0)]
+    assert trades(make_bars(BARS), fine, stop_loss=3, take_profit=19) == want
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows in (1, 3):
+            spark.conf.set(name, rows)
+            assert trades(make_bars(BARS), fine, stop_loss=3, take_profit=19) == want
+            assert trades(make_bars(BARS), fine, trailing_stop=12, exit_bars=2) == trades(make_bars(BARS), fine.limit(12), trailing_stop=12, exit_bars=2)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_metrics(make_bars):
     t = bt.simulate(make_bars(BARS), bt.Strategy("close > 0", exit_bars=1))
     m = bt.metrics(t).first()
