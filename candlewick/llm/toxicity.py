@@ -15,7 +15,8 @@ place in the window: a string counts ``WIDE``-fold, and matches only where it
 stands at the same place of a word.
 
 A window goes through the pairs by ``STAGES`` and is left, at distance 0, when its
-mean does not pass ``SCREEN``. A text is described by the distances of its windows:
+mean does not pass ``SCREEN``; the new windows of ``GROUP`` texts go through each dictionary
+together, which keeps it in the processor's cache. A text is described by the distances of its windows:
 their sum, share and largest values, and how many exceed each of ``LIMITS``.
 Logistic regression calibrates that to a score, whose threshold is where
 precision and recall on the calibration texts balance best. It learns from documents
@@ -60,9 +61,10 @@ STAGES, SCREEN = (2, 8), 1.0
 LIMITS = (3.0, 5.0)
 FEATURES = 6 + 2 * len(LIMITS)
 CACHE = 800_000
+GROUP = 256
 _EDGE = re.compile(rb"[\s.,!?|#$%&*;:\"()]+")
 _CODE = np.random.default_rng(5).integers(0, 256, (WINDOW, 256, WIDE), dtype=np.uint8)
-_PLACE = np.arange(WINDOW)
+_BYTES = [[_CODE[place, byte].tobytes() for byte in range(256)] for place in range(WINDOW)]
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -72,7 +74,7 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def _wide(window: bytes) -> bytes:
-    return _CODE[_PLACE[: len(window)], np.frombuffer(window, np.uint8)].tobytes()
+    return b"".join([place[byte] for place, byte in zip(_BYTES, window)])
 
 
 def _compressor(bag: bytes):
@@ -102,30 +104,39 @@ class Model:
         return _ready[self.name]
 
     def measure(self, half: int | None = None):
-        """A function from a text to its features, with the dictionaries of one half or of both."""
+        """A function from texts to their features, with the dictionaries of one half or of both."""
         pairs, known = self._prepared()
         pairs = [p for both in zip(*pairs) for p in both] if half is None else pairs[half]
         distances = known.setdefault(half, {})
 
-        def distance(window: bytes) -> float:
-            found = distances.get(window)
-            if found is None:
-                wide, total, done = _wide(window), 0, 0
-                for upto in (*STAGES, len(pairs)):
-                    total += sum(len(a(wide)) - len(b(wide)) for a, b in pairs[done:upto])
-                    done = upto
-                    if total <= SCREEN * done:
-                        break
-                found = total / done if total > SCREEN * done else 0.0
-                if len(distances) >= CACHE:
-                    distances.clear()
-                distances[window] = found
-            return found
-
-        def run(text: str | None) -> list[float]:
-            all_windows = windows(text)
+        def meet(new: list[bytes]) -> None:
+            """Distances of windows not met yet."""
+            left, total, done = np.arange(len(new)), np.zeros(len(new)), 0
+            wide = [*map(_wide, new)]
+            for upto in (*STAGES, len(pairs)):
+                some = [wide[i] for i in left.tolist()]
+                for a, b in pairs[done:upto]:
+                    total[left] += np.fromiter(map(len, map(a, some)), np.int64, len(some)) - np.fromiter(map(len, map(b, some)), np.int64, len(some))
+                done = upto
+                left = left[total[left] > SCREEN * done]
+            far = np.zeros(len(new))
+            far[left] = total[left] / done
+            distances.update(zip(new, far.tolist()))
+
+        def run(texts: list[str | None]) -> list[list[float]]:
+            cut = [windows(text) for text in texts]
+            found = dict.fromkeys(w for own in cut for w in own)
+            new = [w for w in found if w not in distances]
+            if len(distances) + len(new) > CACHE:
+                distances.clear()
+                new = [*found]
+            if new:
+                meet(new)
+            return [described(own) for own in cut]
+
+        def described(all_windows: list[bytes]) -> list[float]:
             n = len(all_windows)
-            far = sorted((d for d in map(distance, all_windows) if d), reverse=True)
+            far = sorted((d for d in map(distances.__getitem__, all_windows) if d), reverse=True)
             total = sum(far)
             out = [np.log1p(total), np.log1p(100 * total / (n + 5)), *(far + [0.0, 0.0, 0.0])[:3], np.log1p(n)]
             for limit in LIMITS:
@@ -225,8 +236,14 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = [model.measure(1), model.measure(0)]
         for batch in batches:
-            x = [measure[h](t.as_py()) for h, t in zip(batch.column(0).to_pylist(), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            for at in range(0, batch.num_rows, GROUP):
+                piece = batch.slice(at, GROUP)
+                halves, texts, x = piece.column(0).to_pylist(), piece.column(2).to_pylist(), [None] * piece.num_rows
+                for h in (0, 1):
+                    own = [i for i, half in enumerate(halves) if half == h]
+                    for i, features in zip(own, measure[h]([texts[i] for i in own])):
+                        x[i] = features
+                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     return rows.mapInArrow(run, "y int, x array<double>")
 
@@ -235,9 +252,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the probability of label 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = model.measure() if model.constant is None else lambda _: [0.0] * FEATURES
+        measure = model.measure() if model.constant is None else lambda texts: [[0.0] * FEATURES] * len(texts)
         for batch in batches:
-            x = np.array([measure(t.as_py()) for t in batch.column(1)]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x), pa.float64())], ["doc_id", "score"])
+            for at in range(0, batch.num_rows, GROUP):
+                piece = batch.slice(at, GROUP)
+                x = np.array(measure(piece.column(1).to_pylist())).reshape(-1, FEATURES)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.probability(x), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

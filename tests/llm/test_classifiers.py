@@ -84,3 +84,12 @@ def test_odd_texts_and_tables(spark, make_docs, odd_texts, labelled):
     assert [r.score for r in quality.score(quality.statistics(odd.limit(1)), quality.learn(quality.statistics(docs), none)).collect()] == [0.5]
     assert [r.score for r in toxicity.score(odd.limit(1), toxicity.learn(docs, none)).collect()] == [0.0]
     assert quality.score(quality.statistics(odd.limit(0)), model).count() == 0
+
+
+def test_windows_met_together_have_the_distances_of_windows_met_alone(odd_texts):
+    words = [[b"%s%07d" % (kind, i * 7919 % 9999991) for i in range(300)] for kind in (b"plain", b"rough")]
+    bags = [toxicity._bags(words, seed) for seed in (1, 2)]
+    texts = [*odd_texts, *(" ".join(w.decode() for w in words[1][k : k + 40]) for k in (0, 20, 250)), words[0][5].decode(), None]
+    together = toxicity.Model(bags).measure()(texts)
+    assert together == [toxicity.Model(bags).measure()([t])[0] for t in texts]
+    assert together[len(odd_texts)][0] > 0
