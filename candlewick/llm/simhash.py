@@ -27,11 +27,12 @@ Other columns are ignored, whatever they are called (kept by ``keep_one`` and
 ``keep_one_copy``); an empty table gives no rows.
 
 ``near_copies`` is for cleaning a corpus: texts link if the Jaccard similarity
-of their sets of shingles (five words, as XXH64 values) is 0.8 or more. At that
+of their sets of shingles (five words, as XXH64 values) is 0.8 or more. Its cells are, first, the
+components of the fingerprints as above (``fingerprint_cells``). At that
 similarity fingerprints are expected to differ by about 10 of 64 bits, many pairs
 by more; at such a radius the bands of bits hardly part the rows and nearly every
-pair would be compared. So cells
-are MinHash bands, and each pair is confirmed on the sets themselves: first each member of a cell
+pair would be compared. So for what lies beyond the radius there are MinHash bands as
+further cells. Each pair is confirmed on the sets themselves: first each member of a cell
 against one of them, then, where a cell still holds several components, tile against tile. Texts
 with one set are one row; texts without words link with one another.
 """
@@ -236,17 +237,26 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, tkey, node, size, keys): the digest of the text's set of shingles, its size and its MinHash keys (none for an empty set)."""
+    """(doc_id, tkey, node, size, keys, fp): the digest of the text's set of shingles, its size and its MinHash keys (none for an empty set), and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py(), shingle) for x in batch.column(2)]
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64).view(np.int64)
             nodes = pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], pa.string())
             keys = pa.array([bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "tkey", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], nodes, pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(fps)], ["doc_id", "tkey", "node", "size", "keys", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, tkey string, node string, size long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tkey string, node string, size long, keys array<long>, fp long")
+
+
+def fingerprint_cells(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, size, band, key): the component of fingerprints within the radius that each set of shingles lies in; ``rows`` (node, size, fp)."""
+    rows = rows.filter("size > 0").select("node", "size", "fp").distinct()
+    roots = components(links(rows.select("fp").distinct(), radius))
+    found = rows.join(roots, rows.fp == roots.node, "left").select(rows.node, "size", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("key"))
+    return found.distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -362,7 +372,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         rows = pin(sketches(docs, shingle), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = pin(nodes, "distinct")
-    keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    keyed = pin(fingerprint_cells(rows), "fingerprints").union(nodes.select("node", "size", F.posexplode("keys").alias("band", "key")))
     cells = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).filter("n > 1")
     cells = pin(keyed.join(cells, ["band", "key"]), "cells")
     # Only texts that share a cell are read again.

@@ -5,8 +5,10 @@ as Parquet and read again as the next one's documents. All but the last keep
 the columns of ``documents``:
 
 1. quality: documents that the quality classifier rejects go,
-2. near_duplicates: of each group of near copies (five-word shingles, Jaccard
-   similarity 0.8 or more) one document stays,
+2. near_duplicates: SimHash fingerprints within 2 bits, and MinHash bands for
+   texts whose fingerprints lie further apart, each pair confirmed on the texts' own
+   shingles: of each group of near copies (five-word shingles, Jaccard similarity 0.8
+   or more) one document stays,
 3. decontamination: documents that share a window with the benchmark go,
 4. mixing: documents stay as often as the mix to target weights takes them,
 5. tokens: the ids of what is left, written in binary form and read back.

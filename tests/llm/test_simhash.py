@@ -146,3 +146,22 @@ def test_a_group_whose_members_are_alike_in_part(make_docs, prose, tile, monkeyp
     found = {x.doc_id: x.component_id for x in sh.near_copies(make_docs(texts), tile=tile).collect()}
     assert found == {i: min(k for k in range(60) if label[k] == label[i]) for i in range(60)}
     assert 1 < len(set(label)) < 60
+
+
+def test_the_stage_compares_fingerprints(spark, make_docs, prose, monkeypatch):
+    """Near copies whose fingerprints are within 2 bits share a cell by these alone; further texts and texts without words do not."""
+    base = prose(51, 400).split()
+    changed = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 400, 20)]
+    near = next(t for t in changed if 0 < (sh.fingerprint(" ".join(base)) ^ sh.fingerprint(t)).bit_count() <= sh.RADIUS)
+    texts = [" ".join(base), near, prose(52, 400), "", None, "  ".join(base).replace("a", "A")]
+    rows = sh.sketches(make_docs(texts), sh.COPY_SHINGLE).cache()
+    node = {r.doc_id: r.node for r in rows.collect()}
+    cell = {r.node: (r.band, r.key) for r in sh.fingerprint_cells(rows).collect()}
+    assert cell[node[0]] == cell[node[1]] == cell[node[5]] != cell[node[2]] and node[3] not in cell
+    import corpus_pipeline as cp
+
+    used = []
+    links = sh.links
+    monkeypatch.setattr(sh, "links", lambda *a, **k: used.append(1) or links(*a, **k))
+    assert sorted(r.doc_id for r in cp.near_duplicates_stage(spark, make_docs(texts), "").collect()) == [0, 2, 3]
+    assert used
