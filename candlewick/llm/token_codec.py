@@ -49,7 +49,7 @@ COARSE = 7
 # Their product stays below 2^31, so that shares are 32-bit integers.
 _TOTAL, _WEIGHT = 1 << 21, (1 << 10) - 1
 _MASS = np.uint64(_TOTAL * _WEIGHT)
-_S4, _S16, _S32, _S48 = np.uint64(4), np.uint64(16), np.uint64(32), np.uint64(48)
+_S4, _S16, _S48 = np.uint64(4), np.uint64(16), np.uint64(48)
 _THIN = np.uint64(1 << 48)
 
 
@@ -72,11 +72,13 @@ def _slot_rules():
             after[2 * STATES + state], second[2 * STATES + state] = (max(a - 1, 1) if a > 2 else a) * 8 + 1, True
         else:
             after[2 * STATES + state] = (a - (a > 3)) * 8 + b - 1
-    return after, lead.astype(bool), second.astype(bool)
+    return after, lead.astype(np.int32), second.astype(np.int32)
 
 
 _AFTER, _LEAD, _SECOND = _slot_rules()
 _AFTER = _AFTER.astype(np.int64) << 32
+# As masks: all bits set where the rule holds; no rule is in both.
+_LEAD, _SECOND = -_LEAD, -_SECOND
 _MIX = np.array([0x2545F491, 0x1E3779B1], np.int32)
 # By which guesses were right (1: order 1's, 2: order 2's): the more specific has the credit, none order 0.
 _CREDIT = np.array([2, 0, 1, 1]) * STATES**2
@@ -164,10 +166,11 @@ class _Model:
         ends = self.rest * self.sums.take(guess + 1)
         ends[0] += weight[0]
         ends[1] += weight[0] + weight[1]
-        over = value >= ends
-        passed = weight & -over.astype(np.int32)
+        over = -(value >= ends).astype(np.int32)
+        passed = weight & over
         passed = passed[0] + passed[1]
-        next_guess = np.where(over[1], self.ids, np.where(over[0], guess[1], guess[0]))
+        next_guess = guess[0] ^ (guess[0] ^ guess[1]) & over[0]
+        next_guess ^= (next_guess ^ np.int32(self.ids)) & over[1]
         # What lies at or behind the start of the next guess is that guess; the rest is order 0's alone.
         left = (value - passed) // self.rest
         ids = next_guess
@@ -188,9 +191,9 @@ class _Model:
         self.kinds.append(_CREDIT.take(hit[0] | hit[1] << 1) + self.pair)
         rule = _OUTCOME.take(hit[:2] | hit[2:] << 1) + self.before
         first, other, lead = self.guess[:2], self.guess[2:], _LEAD.take(rule)
-        other = np.where(lead, first, np.where(_SECOND.take(rule), ids, other))
-        first = np.where(lead, ids, first)
-        self.slots[self.at] = _AFTER.take(rule) | other.astype(np.int64) << 16 | first
+        other = other ^ (other ^ first) & lead ^ (other ^ ids) & _SECOND.take(rule)
+        first = first ^ (first ^ ids) & lead
+        self.slots[self.at.reshape(-1)] = (_AFTER.take(rule) | other.astype(np.int64) << 16 | first).reshape(-1)
         self.two, self.one = self.one, ids
         self.waited += len(ids)
         if self.waited * 5 > self.total or len(self.kept) >= REFRESH:
@@ -225,9 +228,9 @@ def _encode(ids: np.ndarray) -> bytes:
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(lanes, len(alphabet))
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    digits = np.zeros((lanes, 3 * steps + 2), np.int32)
-    flat, begin = digits.reshape(-1), np.arange(lanes) * digits.shape[1]
-    used = begin.copy()
+    # Digit k of every lane side by side, as a step writes much the same k in all.
+    digits = np.zeros((3 * steps + 2, lanes), np.int32)
+    flat, used = digits.reshape(-1), np.arange(lanes)
     for t in range(steps):
         if t == last and last < steps:
             model.narrow(lanes - 1)
@@ -239,14 +242,14 @@ def _encode(ids: np.ndarray) -> bytes:
         bottom = low[:m] + part * start.astype(np.uint64)
         over = np.flatnonzero(bottom < low[:m])
         if len(over):
-            flat[used[over] - 1] += 1
+            flat[used[over] - lanes] += 1
         span = part * width.astype(np.uint64)
         thin = span < _THIN
         while thin.any():
             which = np.flatnonzero(thin)
             at = used.take(which)
             flat[at] = bottom.take(which) >> _S48
-            used[which] = at + 1
+            used[which] = at + lanes
             shift = thin.astype(np.uint64) << _S4
             bottom <<= shift
             span <<= shift
@@ -256,9 +259,10 @@ def _encode(ids: np.ndarray) -> bytes:
     # One more digit names a number inside the last range; what follows is read as zeros.
     bottom = low + (_THIN - np.uint64(1))
     over = np.flatnonzero(bottom < low)
-    flat[used[over] - 1] += 1
+    flat[used[over] - lanes] += 1
     flat[used] = bottom >> _S48
-    used += 1 - begin
+    used = used // lanes + 1
+    digits = np.ascontiguousarray(digits[: int(used.max())].T)
     while True:
         over = digits >> 16
         if not over.any():
@@ -306,12 +310,15 @@ def decode(data: bytes) -> np.ndarray:
 def _decode(body: np.ndarray, lengths: np.ndarray, n: int, ids: int) -> np.ndarray:
     lanes, steps = _shape(n)
     last = n - (lanes - 1) * steps
-    # A broken block may ask for more digits than there are: zeros stand behind each lane.
-    digits = np.zeros((lanes, max(int(lengths.max()), 3 * steps) + 8), np.uint64)
+    # Zeros stand behind each lane. A broken block may ask for more, and fails its checksum.
+    digits = np.zeros((lanes, int(lengths.max()) + 4), np.uint16)
     digits[np.arange(digits.shape[1]) < lengths[:, None]] = body
+    digits = np.ascontiguousarray(digits.T)
     model = _Model(lanes, ids)
-    code = digits[:, 0] << _S48 | digits[:, 1] << _S32 | digits[:, 2] << _S16 | digits[:, 3]
-    size, used = np.full(lanes, 2**64 - 1, np.uint64), np.arange(lanes) * digits.shape[1] + 4
+    code = np.zeros(lanes, np.uint64)
+    for i in range(4):
+        code = code << _S16 | digits[i]
+    size, used = np.full(lanes, 2**64 - 1, np.uint64), np.arange(lanes) + 4 * lanes
     flat = digits.reshape(-1)
     most = _MASS - np.uint64(1)
     out = np.zeros((steps, lanes), np.int32)
@@ -328,11 +335,11 @@ def _decode(body: np.ndarray, lengths: np.ndarray, n: int, ids: int) -> np.ndarr
         while thin.any():
             which = np.flatnonzero(thin)
             at = used.take(which)
-            used[which] = at + 1
+            used[which] = at + lanes
             shift = thin.astype(np.uint64) << _S4
             left <<= shift
             span <<= shift
-            left[which] |= flat.take(at)
+            left[which] |= flat.take(at, mode="clip")
             thin = span < _THIN
         code[:m], size[:m] = left, span
         model.learn(now)

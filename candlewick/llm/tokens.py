@@ -8,11 +8,11 @@ decoded alone. A segment is a row of a Parquet table with its documents' ids
 and lengths beside the coded bytes, so Spark's readers and writers carry it to
 any store. Reading gives the ids back and verifies every block.
 
-Words between white space are encoded once and remembered (this tokenizer
-drops white space, which for it is Unicode's and not U+001C to U+001F, and never
-joins over it; texts with a special token's text are encoded whole). A position
-in the whole corpus is the sum of the segments before it, from a small table of
-segment sizes.
+Words between white space are told apart and looked up by Arrow, encoded once,
+many at a call, and remembered (this tokenizer drops white space, which for it
+is Unicode's and not U+001C to U+001F, and never joins over it; texts with a
+special token's text are encoded whole). A position in the whole corpus is the
+sum of the segments before it, from a small table of segment sizes.
 
 Null and empty texts are just the end id; a very long text is one document of
 one segment, in as many blocks as it needs; repeated rows are documents of their
@@ -22,9 +22,7 @@ called.
 
 from __future__ import annotations
 
-import array
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -43,14 +41,19 @@ END = 2
 SEGMENT = 4_000_000
 CACHE = 800_000
 BATCH = 8192
+#: Words told apart at once.
+RUN = 1 << 16
+#: Bytes of words for one call of the merges.
+CALL = 1 << 13
 #: Bytes of text for each task, however large the input.
 PARTITION = 64 << 20
 # Python counts these as white space, the tokenizer does not: it gives them ids.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+# For Arrow's regular expressions: runs of letters in lower case and, behind them, of marks.
+LETTERS = "[a-z\xdf-\xf6\xf8-\xff]+"
+MARKS = r"[.,!?;:|#$%&*+\-/<=>@\\^_`~()\[\]{}\"]"
 ODD = re.compile("[^\0-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
-LITTLE = sys.byteorder == "little"
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 
 
@@ -60,36 +63,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class _Known(dict):
-    """The ids of words without white space, as bytes; what is not known yet is encoded when it is asked for.
+class _Known:
+    """The ids of words without white space that were met so far, laid end to end; new ones are encoded when they are looked up.
 
     A word in lower case is a run of letters, as the tokenizer's pattern cuts it,
     with marks behind it that are a run of their own: the letters go straight
-    to the tokenizer's merges. Any other word goes through the whole tokenizer.
+    to the tokenizer's merges, many words at a call. Any other word goes through
+    the whole tokenizer.
     """
 
-    # The bytes of UTF-8 as the byte-level vocabulary writes them: those that print stand for themselves, the rest from 256 on.
-    PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    WRITTEN = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
-    MARKS = ".,!?;:|#$%&*+-/<=>@\\^_`~()[]{}\""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
+    # The bytes of these letters' UTF-8 as the byte-level vocabulary writes them: those that print stand for themselves, the
+    # others from 256 on. Of the letters' bytes only these three do not print.
+    WRITTEN = {"\x9f": chr(256 + 65), "\xa0": chr(256 + 66), "\xad": chr(256 + 67)}
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # The library's own memory of words is of no use: no word is asked for twice.
+        self.tokenizer.model._resize_cache(0)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # The ids that close a word.
+        words = self.tokenizer.get_vocab()
+        self.closing = np.zeros(1 << 16, bool)
+        self.closing[[i for word, i in words.items() if word.endswith(self.tokenizer.model.end_of_word_suffix or "\n")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint16)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint16) for x in words]
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def _add_letters(self, words: pa.Array) -> None:
+        """Words of letters alone, CALL bytes or one word at a call of the merges."""
+        size = pc.binary_length(words).to_numpy()
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // CALL)) + 1
+        calls = pa.ListArray.from_arrays(np.r_[0, cuts, len(words)].astype(np.int32), words)
+        ids, sizes = [], []
+        for own, joined in zip(calls, pc.binary_join(calls, pa.scalar(" ", pa.large_string()))):
+            text = joined.as_py()
+            if not text.isascii():
+                text = text.encode().decode("latin-1")
+                for byte, written in self.WRITTEN.items():
+                    text = text.replace(byte, written)
+            found = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            last = np.flatnonzero(self.closing.take(found))
+            if len(last) != len(own) or last[-1] != len(found) - 1:
+                # No vocabulary that marks the ends of words: word by word.
+                each = self.encode(own.values.to_pylist())
+                found, last = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            ids.append(found)
+            sizes.append(np.diff(last, prepend=-1))
+        self._add(words, np.concatenate(ids), np.concatenate(sizes))
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each of the different words start, and how many they are."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count and len(self.words) + at.null_count > CACHE:
             self.clear()
-        letters = word.rstrip(self.MARKS)
-        if letters and len(letters) < len(word) and LETTERS.fullmatch(letters):
-            return self[letters] + self[word[len(letters) :]]
-        if LETTERS.fullmatch(word):
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.WRITTEN)
-            ids = [t.id for t in self.merges(written)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = array.array("H", ids).tobytes() if LITTLE else np.array(ids, "<u2").tobytes()
-        return found
+            at = pa.nulls(len(words), pa.int32())
+        new = words.filter(at.is_null())
+        letters = pc.match_substring_regex(new, rf"^{LETTERS}\z")
+        at = at.fill_null(-1).to_numpy().copy()
+        plain, other = new.filter(letters), new.filter(pc.invert(letters))
+        missing, is_plain = np.flatnonzero(at < 0), letters.to_numpy(zero_copy_only=False).astype(bool)
+        for chosen, which in ((plain, is_plain), (other, ~is_plain)):
+            if len(chosen):
+                at[missing[which]] = len(self.words) + np.arange(len(chosen))
+                if chosen is plain:
+                    self._add_letters(chosen)
+                else:
+                    each = self.encode(chosen.to_pylist())
+                    self._add(chosen, np.concatenate(each), np.array([len(x) for x in each], np.int64))
+        return self.starts.take(at), self.sizes.take(at)
+
+
+def _laid(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at these places, end to end."""
+    after = np.cumsum(sizes)
+    return flat.take(np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0))
 
 
 _known: dict[str, _Known] = {}
@@ -98,40 +158,52 @@ _known: dict[str, _Known] = {}
 def encoder(path: str):
     """A function from texts to arrays of ids. What words encode to is remembered for the life of the process.
 
-    The words of a batch of plain texts are found and told apart by Arrow; each
+    The words of a batch of texts are found and told apart by Arrow; each
     different word is looked up once.
     """
-    from tokenizers import Tokenizer
-
     if path not in _known:
-        _known[path] = _Known(Tokenizer.from_file(path))
+        _known[path] = _Known(path)
     known = _known[path]
     special = [t.content for t in known.tokenizer.get_added_tokens_decoder().values()]
-    end = np.array([END], "<u2")
 
-    def odd(text: str) -> np.ndarray:
-        words = [text] if any(s in text for s in special) else SPACE.split(text)
-        return np.frombuffer(b"".join([*map(known.__getitem__, words)]), "<u2")
+    def by_words(words: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts, with the end id: text i has the words from offsets[i] to offsets[i + 1]."""
+        # Words are told apart in runs whose different words fit a processor's cache, then all together.
+        found = [words.slice(i, RUN).dictionary_encode() for i in range(0, len(words), RUN)] or [words.dictionary_encode()]
+        before = np.cumsum([0, *(len(x.dictionary) for x in found)])
+        which = np.concatenate([x.indices.to_numpy() + n for x, n in zip(found, before)])
+        different = pa.concat_arrays([x.dictionary for x in found])
+        letters, marks = pc.extract_regex(different, rf"^(?P<letters>{LETTERS})(?P<marks>{MARKS}+)\z").flatten()
+        pieces = pa.concat_arrays([pc.coalesce(letters, different), marks.fill_null("")]).dictionary_encode()
+        pair = pieces.indices.to_numpy().reshape(2, -1).T
+        starts, sizes = (x.take(pair) for x in known.look_up(pieces.dictionary))
+        own = _laid(known.ids, starts.reshape(-1), sizes.reshape(-1))
+        sizes = sizes.sum(axis=1)
+        lengths = sizes.take(which)
+        ids = _laid(own, (np.cumsum(sizes) - sizes).take(which), lengths)
+        ends = np.r_[0, np.cumsum(lengths)].take(offsets[1:])
+        return np.split(np.insert(ids, ends, END), ends[:-1] + np.arange(1, len(ends)))
 
     def plain(texts: list[str]) -> list[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        ends = words.offsets.to_numpy()
-        found = words.flatten().dictionary_encode()
-        which = found.indices.to_numpy()
-        own = [*map(known.__getitem__, found.dictionary.to_numpy(zero_copy_only=False))]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
-        ids = np.frombuffer(b"".join(own), "<u2")
-        lengths = sizes.take(which)
-        after = np.cumsum(lengths)
-        # Where each id of the words in order stands among those of the different words.
-        at = np.repeat((np.cumsum(sizes) - sizes).take(which) - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)
-        return np.split(ids.take(at), np.r_[0, after].take(ends[1:-1] - ends[0]))
+        offsets = words.offsets.to_numpy()
+        return by_words(words.flatten(), offsets - offsets[0])
+
+    def odd(texts: list[str]) -> list[np.ndarray]:
+        words = [pa.array(SPACE.split(t), pa.large_string()) for t in texts]
+        return by_words(pa.concat_arrays(words), np.r_[0, np.cumsum([len(own) for own in words])])
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        # Arrow lowers and splits these characters as the tokenizer does.
-        simple = [not ((any(c in t for c in SEPARATORS) if t.isascii() else ODD.search(t)) or ("<|" in t and any(s in t for s in special))) for t in texts]
-        some = iter(plain([t for t, x in zip(texts, simple) if x]) if any(simple) else [])
-        return [np.concatenate([next(some) if x else odd(t), end]) for t, x in zip(texts, simple)]
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, t in enumerate(texts):
+            # Arrow lowers and splits the characters of plain texts as the tokenizer does.
+            kinds[2 if "<|" in t and any(s in t for s in special) else 1 if (any(c in t for c in SEPARATORS) if t.isascii() else ODD.search(t)) else 0].append(i)
+        out: list = [None] * len(texts)
+        for own, ids_of in zip(kinds, (plain, odd, lambda whole: [np.append(x, np.uint16(END)) for x in known.encode(whole)])):
+            if own:
+                for i, ids in zip(own, ids_of([texts[i] for i in own]), strict=True):
+                    out[i] = ids
+        return out
 
     return run
 

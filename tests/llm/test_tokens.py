@@ -110,3 +110,52 @@ def test_every_character_as_the_tokenizer_does():
     texts = [f"a{chr(c)}b {chr(c)} c" for c in range(0x3100)]
     for text, own in zip(texts, encode(texts), strict=True):
         assert own.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_new_words_go_to_the_merges_many_at_a_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "_known", {})
+    monkeypatch.setattr(tokens, "CALL", 1000)
+    monkeypatch.setattr(tokens, "RUN", 300)
+    encode, known, calls = tokens.encoder(path), tokens._known[path], []
+
+    class Merges:
+        def encode_batch_fast(self, *args, **options):
+            calls.append(args)
+            return inner.encode_batch_fast(*args, **options)
+
+    inner, known.merges = known.merges, Merges()
+    r = np.random.default_rng(7)
+    letters = [*"abcdefghijklmnopqrstuvwxyz", *map(chr, range(0xDF, 0x100))]
+    texts = [" ".join("".join(r.choice(letters, r.integers(1, 12))) + str(r.choice(["", ".", ",", "?!", "'s", "\xf7"])) for _ in range(200)) for _ in range(20)]
+    texts += ["", " ", "x" * 5000, "Stra\xdfe STRASSE \u0152uvre oeuvre", texts[0], "it's <|endoftext|> one"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [x.tolist() for x in encode(texts)] == want
+    assert 0 < len(calls) < len({w for t in texts for w in t.split()}) / 20
+    before = len(calls)
+    assert [x.tolist() for x in encode(texts[::-1])] == want[::-1]
+    assert len(calls) == before
+    # When there are too many words, all are forgotten.
+    monkeypatch.setattr(tokens, "CACHE", 3000)
+    assert [x.tolist() for x in encode([*texts, "newone newtwo"])][: len(texts)] == want
+    # A vocabulary without ends of words is asked word by word.
+    known.clear()
+    known.closing[:] = False
+    assert [x.tolist() for x in encode(texts)] == want
+
+
+def test_coding_needs_little_beside_the_ids():
+    import tracemalloc
+
+    ids = np.random.default_rng(8).zipf(1.5, 1 << 20) % 3000
+    ids = ids.astype(np.uint16)
+    for work in (lambda: b"".join(token_codec.encode(ids)), lambda: token_codec.decode(data)):
+        tracemalloc.start()
+        data = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 42 * len(ids)
+    assert (data == ids).all()
