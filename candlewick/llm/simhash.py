@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, pin, text_key
+from .common import boxed, pin, text_key, tidy
 
 RADIUS = 2
 SHINGLE = 3
@@ -84,6 +84,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, tkey, fp) with the text's digest, and the fingerprint as a signed long."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py(), shingle) for x in batch.column(2)]
@@ -191,18 +192,19 @@ def _runs(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: alternating large-star and small-star rounds until nothing moves."""
+    """(node, root) for every node of an edge: alternating large-star and small-star rounds until no edge moves."""
     now = pin(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     while True:
-        both = now.union(now.select("v", "u"))
+        both = now.select("u", "v").union(now.select("v", "u"))
         low = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("c")).alias("moved"))
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = pin(small.filter("u != v").distinct(), "edges")
-        moved = after.join(now, ["u", "v"], "left_anti").limit(1).count() or now.join(after, ["u", "v"], "left_anti").limit(1).count()
-        now = after
-        if not moved:
+        edge = lambda u, moved: F.struct(F.col(u).alias("u"), F.col("m").alias("v"), moved.alias("moved"))
+        both = F.array(edge("v", F.col("moved") | (F.col("v") != F.col("m"))), edge("u", F.col("moved")))
+        small = large.join(low, F.col("u") == F.col("c")).select(F.explode(both).alias("e")).select("e.*")
+        # An edge that a star has moved is marked, so a round needs no comparison with the one before.
+        now = pin(small.filter("u != v").groupBy("u", "v").agg(F.max("moved").alias("moved")), "edges")
+        if not now.filter("moved").limit(1).count():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -239,6 +241,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, tkey, node, size, keys, fp): the digest of the text's set of shingles, its size and its MinHash keys (none for an empty set), and its fingerprint."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py(), shingle) for x in batch.column(2)]
@@ -262,6 +265,7 @@ def fingerprint_cells(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have the Jaccard similarity or more."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -329,6 +333,7 @@ def cell_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         child, parent = spanning(left[i], other[j], len(node))
         return [node[k] for k in child], [node[k] for k in parent]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
@@ -379,6 +384,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi").select("tkey", "node")
     texts = docs.select(text_key().alias("tkey"), F.col("text").cast("string").alias("text")).join(wanted, "tkey").dropDuplicates(["node"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
@@ -397,7 +403,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     mixed = left.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
     mixed = mixed.filter("mixed").select("band", "key", F.ceil(F.greatest(F.col("n") / tile, F.col("all") / TILE_SHINGLES)).cast("int").alias("tiles"))
     left = pin(left.join(mixed, ["band", "key"]), "mixed")
-    more = pin(cell_links(left, sets, similarity), "edges")
+    with small_batches(docs.sparkSession):
+        more = pin(cell_links(left, sets, similarity), "edges")
     if more.limit(1).count():
         roots = components(edges.union(more))
     grouped = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import token_codec
-from .common import shared_path
+from .common import shared_path, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -218,6 +218,7 @@ def segments(docs: DataFrame, tokenizer: str | None = None, segment: int = SEGME
     rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
     rows = rows.withColumn("part", F.spark_partition_id())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -260,6 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(files: DataFrame, last: str, make) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, docs, lengths, data in zip(*(batch.column(c) for c in ("part", "seq", "doc_ids", "lengths", "data"))):

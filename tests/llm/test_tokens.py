@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from candlewick.llm import token_codec, tokens
@@ -159,3 +160,27 @@ def test_coding_needs_little_beside_the_ids():
         tracemalloc.stop()
         assert peak < 42 * len(ids)
     assert (data == ids).all()
+
+
+def test_workers_give_their_memory_back(spark, make_docs):
+    """What a task needed while it ran is not held by its worker afterwards."""
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    docs = make_docs([" ".join(words[r.integers(0, 5000, 40_000)]) for _ in range(60)]).coalesce(1)
+
+    def look(batches):
+        import os
+        import re
+        import time
+
+        time.sleep(0.5)
+        for _ in batches:
+            with open("/proc/self/smaps_rollup") as lines:
+                mb = int(re.search(r"\nPss_Anon:\s+(\d+)", lines.read())[1]) >> 10
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([mb])], ["pid", "mb"])
+
+    held = lambda: {x.pid: x.mb for x in spark.range(0, 8, 1, 8).mapInArrow(look, "pid long, mb long").collect()}
+    tokens.segments(docs.limit(1)).collect()
+    before = held()
+    assert sum(x.n_tokens for x in tokens.segments(docs).collect()) > 60 * 40_000
+    assert max(mb - before.get(pid, min(before.values())) for pid, mb in held().items()) < 60
